@@ -29,8 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Everything Unicode calls white space, besides zero-width marks that are no white space.
-SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 #: A line in which each field is enclosed or free of double quotes.
 WELL_QUOTED = r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*'
 
@@ -99,7 +97,7 @@ def judge(records: list[tuple[str | None, str | None]], kinds: tuple[Kind, ...],
     by_kind: dict[str, list[tuple[int, str]]] = {}
     known = {k.name: k for k in kinds}
     for i, (kind, line) in enumerate(records):
-        if line is None or not line.strip(SPACE):
+        if line is None or not line.strip():
             continue
         if kind in known:
             by_kind.setdefault(kind, []).append((i, line.rstrip("\r\n")))
@@ -127,7 +125,7 @@ def judge(records: list[tuple[str | None, str | None]], kinds: tuple[Kind, ...],
             elif fields is None:
                 out[i] = ("columns", error, None)
             else:
-                values = [(v or "").translate(back).strip(SPACE) for v in fields]
+                values = [(v or "").translate(back).strip() for v in fields]
                 v = values[at]
                 ok = valid.fullmatch(v) and (kind.at_most is None or len(v.lstrip("0")) <= len(str(kind.at_most)) and int(v) <= kind.at_most)
                 out[i] = (None if ok else kind.reason, None, values)

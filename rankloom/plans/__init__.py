@@ -1,0 +1,10 @@
+"""Query catalogue."""
+
+from __future__ import annotations
+
+
+def load_catalogue() -> tuple[dict, dict]:
+    """All named core queries and their SQL."""
+    from rankloom.plans import catalogue, cleaning  # noqa: F401
+
+    return catalogue.QUERIES, catalogue.ORACLES
