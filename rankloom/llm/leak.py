@@ -33,12 +33,16 @@ class Rule:
     seed_words: int = 3
     seed_chars: int = 9
     min_words: int = 15
-    #: Share of the covered words that must agree.
-    agree: float = 0.7
+    #: (words covered, share of them that must agree), by rising words: the shorter a passage, the more alike it must be,
+    #: since texts of the same kind share turns of phrase within a sentence.
+    agree: tuple[tuple[int, float], ...] = ((0, 0.92), (18, 0.87), (21, 0.8), (30, 0.75))
     #: Item words that may be missed between two hits, and characters a missed or added word may take.
     gap_words: int = 6
     word_chars: int = 14
 
+    def share(self, covered: int) -> float:
+        return next(s for w, s in reversed(self.agree) if covered >= w)
+
 
 class Automaton:
     def __init__(self, items: list[tuple[int, str]], rule: Rule) -> None:
@@ -156,7 +160,7 @@ class Automaton:
                 covered = places[c] - places[a] + 1
                 if covered < need or best and c - a + 1 <= best[1]:
                     break
-                if (c - a + 1) / covered >= self.rule.agree:
+                if c - a + 1 >= self.rule.share(covered) * covered:
                     best = (covered, c - a + 1, agree[places[a]][0], agree[places[c]][1])
                     break
         return best
