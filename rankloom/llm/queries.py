@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, leak, residue
+from rankloom.llm import bpe, leak, names, residue
 
 QUERIES = {}
 ORACLES = {}
@@ -60,3 +60,11 @@ def p8_found(spark, sf_dir):
 def p8_windows(spark, sf_dir):
     d = residue.find_residue(_table(spark, sf_dir, "documents"))
     return d.select("doc_id", "coverage", F.explode("windows").alias("w")).select("doc_id", "coverage", F.col("w.class").alias("class"), "w.begin", "w.end")
+
+
+@_query("p5_found")
+def p5_found(spark, sf_dir):
+    """Employers of résumé rows and institutions, linked in one pass."""
+    jobs = _table(spark, sf_dir, "experience").where("origin = 'resume'").select(F.lit("company").alias("label"), F.col("exp_id").alias("id"), F.col("company").alias("text"))
+    schools = _table(spark, sf_dir, "education").select(F.lit("institution").alias("label"), F.col("edu_id").alias("id"), F.col("institution").alias("text"))
+    return names.find_spellings(jobs.unionByName(schools))
