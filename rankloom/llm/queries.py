@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, leak, names, residue
+from rankloom.llm import bpe, canon, leak, names, residue
 
 QUERIES = {}
 ORACLES = {}
@@ -68,3 +68,18 @@ def p5_found(spark, sf_dir):
     jobs = _table(spark, sf_dir, "experience").where("origin = 'resume'").select(F.lit("company").alias("label"), F.col("exp_id").alias("id"), F.col("company").alias("text"))
     schools = _table(spark, sf_dir, "education").select(F.lit("institution").alias("label"), F.col("edu_id").alias("id"), F.col("institution").alias("text"))
     return names.find_spellings(jobs.unionByName(schools))
+
+
+def _p2(spark, sf_dir):
+    return {t: _table(spark, sf_dir, t) for t in ("experience", "locations", "skills")}, _table(spark, sf_dir, "ref_values")
+
+
+@_query("p2_found")
+def p2_found(spark, sf_dir):
+    return canon.match_columns(*_p2(spark, sf_dir))
+
+
+@_query("p2_unmatched")
+def p2_unmatched(spark, sf_dir):
+    """How many values of each list stay without an entry."""
+    return p2_found(spark, sf_dir).groupBy("field").agg(F.count("*").alias("typed"), F.count_if(F.col("ref_id") == 0).alias("unmatched"))
