@@ -146,7 +146,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float = 0.5,
         return d
 
     both = prepared(dense, "dense_score").join(prepared(sparse, "bm25_score"), ["query", "doc"], "full_outer").na.fill(0.0, ["dense_score", "bm25_score"])
-    return top_k(both.withColumn("score", F.round(F.col("dense_score") * dense_weight + F.col("bm25_score") * sparse_weight, 6)), k)
+    return top_k(both.withColumn("score", F.round(F.col("dense_score") * dense_weight + F.col("bm25_score") * sparse_weight, 9)), k)
 
 
 def search_query_text(parts: list) -> object:

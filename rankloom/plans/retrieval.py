@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text
 from rankloom.operators import metrics, retrieval
 from rankloom.plans.catalogue import query, table
+from rankloom.session import when_small
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 #: A query that repeats a term.
@@ -150,7 +151,7 @@ def vector_get(spark, sf_dir):
 _FUSION_SQL = f"""
 WITH s AS (SELECT query, doc, score FROM ({_MANY_SQL})), d AS (SELECT query + 1 AS query, doc, score FROM ({_vector_sql("ip", "q.vec_id < 240", 10)})),
      f AS (SELECT coalesce(d.query, s.query) AS query, coalesce(d.doc, s.doc) AS doc, coalesce(d.score, 0.0) AS dense_score, coalesce(s.score, 0.0) AS bm25_score FROM d FULL JOIN s ON d.query = s.query AND d.doc = s.doc),
-     x AS (SELECT *, round(dense_score * 0.5 + bm25_score * 0.5, 6) AS score FROM f),
+     x AS (SELECT *, round(dense_score * 0.5 + bm25_score * 0.5, 9) AS score FROM f),
      r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM x)
 SELECT query, doc, dense_score, bm25_score, score, rank FROM r WHERE rank <= 10"""
 
@@ -166,13 +167,14 @@ _TRUTH_SQL = "SELECT item_id AS query, doc_id AS doc FROM documents d, eval_item
 
 
 def _truth(spark, sf_dir):
-    """Found through the first words of the items (an equi-join on five-word runs), then checked exactly; no cross join."""
+    """Found through a run of five words (an equi-join), then checked exactly; no cross join, and texts join by id only."""
     runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 4)), lambda i: F.array_join(F.slice(c, i, 5), " "))
     words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
     # The third to seventh words of an item lie whole within any text that holds it.
     items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query"), F.col("text").alias("item"), F.array_join(F.slice(words(F.col("text")), 3, 5), " ").alias("run"))
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text", F.explode(F.array_distinct(runs(words(F.col("text"))))).alias("run"))
-    return docs.join(items, "run").where(F.col("text").contains(F.col("item"))).select("query", "doc").distinct()
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+    near = docs.select("doc", F.explode(F.array_distinct(runs(words(F.col("text"))))).alias("run")).join(when_small(items), "run").select("doc", "query", "item").distinct()
+    return docs.join(near, "doc").where(F.col("text").contains(F.col("item"))).select("query", "doc")
 
 
 def _metric_sql(value: str) -> str:

@@ -47,3 +47,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def when_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df marked for broadcast if it has at most ``rows`` rows, which is counted (no further than that); else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
