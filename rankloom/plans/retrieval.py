@@ -34,7 +34,7 @@ WITH d AS (SELECT * FROM (SELECT doc_id AS doc, {words_sql("text")} AS w FROM do
 SELECT query, doc, score, rank FROM r WHERE rank <= {k} AND score > 0"""
 
 
-_ONE_SQL = _bm25_sql(f"SELECT 1 AS query, '{_ONE}' AS qt", 100)
+ONE_SQL = _bm25_sql(f"SELECT 1 AS query, '{_ONE}' AS qt", 100)
 _MANY_SQL = _bm25_sql("SELECT item_id AS query, text AS qt FROM eval_items", 10)
 
 
@@ -46,7 +46,7 @@ def _many(spark, sf_dir, k=10):
     return retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items").select("item_id", F.col("text").alias("qt")), "doc_id", "text", "item_id", "qt", k)
 
 
-@query("bm25_topk", _ONE_SQL)
+@query("bm25_topk", ONE_SQL)
 def bm25_topk(spark, sf_dir):
     return retrieval.bm25(table(spark, sf_dir, "documents"), _one(spark), "doc_id", "text", "query", "qt", 100)
 

@@ -1,0 +1 @@
+"""Structured Streaming: record checks and windowed counts over unbounded input."""
