@@ -128,5 +128,7 @@ def substitute(template: str, values: dict[str, Column]) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """(c - low) / (high - low) within [0, 1]; 0 where the two are equal."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(c - low, F.lit(float(high - low))))), F.lit(0.0))
+    """(c - low) / (high - low) within [0, 1]; 0 of null, and where the two are equal."""
+    if high == low:
+        return F.lit(0.0)
+    return F.when(c.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - low) / F.lit(float(high - low)))))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import export, ranking, retrieval
 from rankloom.operators.profiles import build_profiles
 from rankloom.operators.records import keep_first, split_valid
+from rankloom.session import checkpoint
 from rankloom.sources.files import Config
 
 
@@ -70,7 +71,8 @@ def load(s: State) -> None:
 
 @stage("profiles")
 def profiles(s: State) -> None:
-    s.frames["profiles"] = build_profiles(s.frames["valid"])
+    # Three stages read the profiles: they are built once, and the plans behind them stay small.
+    s.frames["profiles"] = checkpoint(build_profiles(s.frames["valid"]))
 
 
 @stage("retrieve")
