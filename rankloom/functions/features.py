@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import cosine
+from rankloom.functions.text import cosine, let
 
 ML = "machine learning"
 FRAMEWORKS = ("tensorflow", "keras", "pytorch")
@@ -19,26 +19,30 @@ def lowered(a: Column) -> Column:
     return F.transform(a, lambda x: F.lower(x))
 
 
-def _has_framework(cand: Column) -> Column:
-    return F.arrays_overlap(lowered(cand), F.array(*[F.lit(f) for f in FRAMEWORKS]))
+def _has_framework(low: Column) -> Column:
+    return F.arrays_overlap(low, F.array(*[F.lit(f) for f in FRAMEWORKS]))
 
 
-def _held(x: Column, cand: Column) -> Column:
-    return F.when(F.lower(x) == ML, _has_framework(cand)).otherwise(F.array_contains(lowered(cand), F.lower(x)))
+def _held(x: Column, low: Column) -> Column:
+    """Whether a required skill is among a candidate's skills in lower case."""
+    return F.when(F.lower(x) == ML, _has_framework(low)).otherwise(F.array_contains(low, F.lower(x)))
 
 
 def matched_skills(jd: Column, cand: Column) -> Column:
-    own = F.filter(jd, lambda x: F.array_contains(lowered(cand), F.lower(x)))
-    ml = F.when(F.array_contains(lowered(jd), ML) & _has_framework(cand), F.array(F.lit("Machine Learning"))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_union(own, ml))
+    def of(low: Column) -> Column:
+        own = F.filter(jd, lambda x: F.array_contains(low, F.lower(x)))
+        ml = F.when(F.array_contains(lowered(jd), ML) & _has_framework(low), F.array(F.lit("Machine Learning"))).otherwise(F.array().cast("array<string>"))
+        return F.array_sort(F.array_union(own, ml))
+
+    return let(lowered(cand), of)
 
 
 def missing_skills(required: Column, cand: Column) -> Column:
-    return F.array_sort(F.filter(required, lambda x: ~_held(x, cand)))
+    return let(lowered(cand), lambda low: F.array_sort(F.filter(required, lambda x: ~_held(x, low))))
 
 
 def required_matches(required: Column, cand: Column) -> Column:
-    return F.size(F.filter(required, lambda x: _held(x, cand)))
+    return let(lowered(cand), lambda low: F.size(F.filter(required, lambda x: _held(x, low))))
 
 
 def preferred_matches(preferred: Column, cand: Column) -> Column:

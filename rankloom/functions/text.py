@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ CATEGORY_RULES = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row: Spark computes an expression used within a lambda again for each element."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -63,16 +70,22 @@ def tokens(c: Column, strategy: str = "standard", stop_words: list[str] | None =
 
 def counts(words: Column) -> Column:
     """Bag of words: word -> count."""
-    distinct = F.array_distinct(words)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda w: F.size(F.filter(words, lambda x: x == w)).cast("double")))
+    def bag(w: Column) -> Column:
+        distinct = F.array_distinct(w)
+        return F.map_from_arrays(distinct, F.transform(distinct, lambda x: F.size(F.filter(w, lambda y: y == x)).cast("double")))
+
+    return let(words, bag)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of the bags of words (lower case, split at white space) of two texts; 0 if either is empty."""
-    x, y = counts(tokens(a, "minimal")), counts(tokens(b, "minimal"))
-    dot = F.aggregate(F.map_entries(x), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(y, e["key"]), F.lit(0.0)))
     norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v * v))
-    return F.coalesce(F.try_divide(dot, norm(x) * norm(y)), F.lit(0.0))
+
+    def of(p: Column) -> Column:
+        dot = F.aggregate(F.map_entries(p["x"]), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(p["y"], e["key"]), F.lit(0.0)))
+        return F.coalesce(F.try_divide(dot, norm(p["x"]) * norm(p["y"])), F.lit(0.0))
+
+    return let(F.struct(counts(tokens(a, "minimal")).alias("x"), counts(tokens(b, "minimal")).alias("y")), of)
 
 
 def normalize_skill(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import clean
+from rankloom.functions.text import clean, let
 from rankloom.operators.records import is_valid
 
 
@@ -75,9 +75,12 @@ def activity_text() -> Column:
 
 def _segments(labelled: list[Column]) -> Column:
     """Non-empty segments, of equal ones without case the first, joined by blank lines."""
+    def first_of_equal(p: Column) -> Column:
+        return F.filter(p["parts"], lambda x, i: F.array_position(p["low"], F.lower(x)) == i + 1)
+
     parts = F.filter(F.array(*[clean(c) for c in labelled]), lambda x: x != "")
-    low = F.transform(parts, lambda x: F.lower(x))
-    return F.array_join(F.filter(parts, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), "\n\n")
+    both = let(parts, lambda x: F.struct(x.alias("parts"), F.transform(x, lambda y: F.lower(y)).alias("low")))
+    return F.array_join(let(both, first_of_equal), "\n\n")
 
 
 def build_profiles(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

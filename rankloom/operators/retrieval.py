@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import tokens
+from rankloom.functions.text import let, tokens
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, strategy: str = "standard") -> DataFrame:
-    """doc, words of the documents that have any."""
-    return docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col), strategy).alias("words")).where(F.size("words") > 0)
+    """doc, words of the documents that have any.
+
+    The explode of a one-element array keeps Spark from splitting each text again for every use of ``words``.
+    """
+    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(F.col(text_col), strategy))).alias("words")).where(F.size("words") > 0)
 
 
 def corpus_stats(words: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def remove(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def l2_normalize(v):
     """A vector (array column) divided by its length; a zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+    return let(norm, lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))))
 
 
 def dot(a, b):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text
 from rankloom.operators import metrics, retrieval
 from rankloom.plans.catalogue import query, table
-from rankloom.session import when_small
+from rankloom.session import checkpoint, when_small
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 #: A query that repeats a term.
@@ -173,7 +173,7 @@ def _truth(spark, sf_dir):
     # The third to seventh words of an item lie whole within any text that holds it.
     items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query"), F.col("text").alias("item"), F.array_join(F.slice(words(F.col("text")), 3, 5), " ").alias("run"))
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    near = docs.select("doc", F.explode(F.array_distinct(runs(words(F.col("text"))))).alias("run")).join(when_small(items), "run").select("doc", "query", "item").distinct()
+    near = docs.select("doc", F.explode(text.let(words(F.col("text")), lambda w: F.array_distinct(runs(w)))).alias("run")).join(when_small(items), "run").select("doc", "query", "item").distinct()
     return docs.join(near, "doc").where(F.col("text").contains(F.col("item"))).select("query", "doc")
 
 
@@ -215,7 +215,7 @@ def coverage(spark, sf_dir):
 
 @query("evaluation_report", " UNION ALL ".join(f"SELECT '{n}' AS metric, 5 AS k, count(*) AS queries, round(avg(value), 6) AS mean FROM ({_metric_sql(v)})" for n, v in _VALUES.items()))
 def evaluation_report(spark, sf_dir):
-    return metrics.evaluate(_many(spark, sf_dir).persist(), _truth(spark, sf_dir).persist(), 5, list(_VALUES))
+    return metrics.evaluate(checkpoint(_many(spark, sf_dir)), checkpoint(_truth(spark, sf_dir)), 5, list(_VALUES))
 
 
 @query("composite_score", f"""
@@ -223,7 +223,7 @@ SELECT a.query, round(0.80 * a.value + 0.15 * b.value + 0.05 * c.value, 6) AS va
 FROM ({_metric_sql(_VALUES["ndcg_at_k"].replace("5", "10").replace("0.510", "0.5"))}) a JOIN ({_metric_sql(_VALUES["average_precision"])}) b ON a.query = b.query JOIN ({_metric_sql("count(CASE WHEN rank <= 10 AND rel = 1 THEN doc END) / 10.0")}) c ON a.query = c.query""")
 def composite_score(spark, sf_dir):
     """The hit lists end at ten, so the measure at fifty equals that at ten up to its ideal; both use ten here."""
-    r, t = _many(spark, sf_dir).persist(), _truth(spark, sf_dir).persist()
+    r, t = checkpoint(_many(spark, sf_dir)), checkpoint(_truth(spark, sf_dir))
     v = lambda f, n: f(r, t, 10).withColumnRenamed("value", n)
     d = v(metrics.ndcg_at_k, "n").join(v(metrics.average_precision, "a"), "query").join(v(metrics.ranking_precision_at_k, "p"), "query")
     return d.select("query", F.round(metrics.composite(F.col("n"), F.col("n"), F.col("a"), F.col("p")), 6).alias("value"))
