@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,14 @@ class Rule:
     gap_words: int = 6
     word_chars: int = 14
 
+    @cache  # noqa: B019 - rules are few and small
+    def least_seeds(self, need: int) -> int:
+        """Seeds any accepted passage holds: each word that doesn't agree breaks at most ``seed_words`` of them, and a few
+        seeds are too short to be looked for."""
+        worst = min(c - (self.seed_words - 1) - self.seed_words * int(c - self.share(c) * c) for c in range(need, need + 40))
+        return max(1, worst - 1)
+
+    @cache  # noqa: B019
     def share(self, covered: int) -> float:
         return next(s for w, s in reversed(self.agree) if covered >= w)
 
@@ -78,7 +87,8 @@ class Automaton:
             w = self.items[k][1]
             need = min(self.rule.min_words, len(w))
             # Cheap bound: a passage needs hits spread over enough words of the item.
-            if max(j for *_, j in h) - min(j for *_, j in h) + self.rule.seed_words + 2 * self.rule.gap_words < need:
+            places = {j for *_, j in h}
+            if len(places) < self.rule.least_seeds(need) or max(places) - min(places) + self.rule.seed_words + 2 * self.rule.gap_words < need:
                 continue
             best = self._chain(s, w, h, need)
             if best:
@@ -121,6 +131,8 @@ class Automaton:
             while y >= 0:
                 chain.append(h[y])
                 y = back[y]
+            if h[x][2] + n - chain[-1][2] + 10 < need:  # the borders add at most five words each
+                continue
             got = self._measure(s, w, chain[::-1], n, need)
             if got and (top is None or got[1] > top[1]):
                 top = got
