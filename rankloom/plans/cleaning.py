@@ -25,7 +25,8 @@ SELECT raw_id, reason FROM r WHERE reason IS NOT NULL"""
 
 @query("p1_found", _P1)
 def p1_found(spark, sf_dir):
-    return rejects.rejected(rejects.parse_records(table(spark, sf_dir, "raw_records"))).select("raw_id", "reason")
+    found = rejects.rejected(rejects.parse_records(table(spark, sf_dir, "raw_records")))
+    return found.where("reason <> 'kind'").select("raw_id", "reason")
 
 
 @query("p1_reason_counts", f"WITH found AS ({_P1}) SELECT reason, count(*) AS n FROM found GROUP BY reason")
