@@ -42,11 +42,11 @@ def missing_skills(required: Column, cand: Column) -> Column:
 
 
 def required_matches(required: Column, cand: Column) -> Column:
-    return let(lowered(cand), lambda low: F.size(F.filter(required, lambda x: _held(x, low))))
+    return let(lowered(cand), lambda low: F.size(F.filter(required, lambda x: _held(x, low))).cast("long"))
 
 
 def preferred_matches(preferred: Column, cand: Column) -> Column:
-    return F.size(F.array_intersect(preferred, cand))
+    return F.size(F.array_intersect(preferred, cand)).cast("long")
 
 
 def share_of(n: Column, items: Column) -> Column:

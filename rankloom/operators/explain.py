@@ -30,7 +30,7 @@ def employment_gaps(jobs: DataFrame, entity: str, start: str, end: str, id_col:
     """Neighbouring jobs by start with more than ``days`` between the end of one and the start of the next: entity, id of the next, gap_days."""
     w = Window.partitionBy(entity).orderBy(start, id_col)
     d = jobs.where(F.col(start).isNotNull()).withColumn("prev_end", F.lag(end).over(w))
-    gap = F.datediff(F.to_date(F.col(start)), F.to_date(F.col("prev_end")))
+    gap = F.datediff(F.to_date(F.col(start)), F.to_date(F.col("prev_end"))).cast("long")
     return d.withColumn("gap_days", gap).where(F.col("gap_days") > days).select(entity, id_col, "gap_days")
 
 

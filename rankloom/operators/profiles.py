@@ -104,4 +104,4 @@ def build_profiles(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         listed("Skills: ", F.col("skills"), ", "), listed("Experience:\n", F.col("experience"), "\n"), listed("Education:\n", F.col("education"), "\n"), listed("Certifications:\n", F.col("certifications"), "\n"),
         F.when(F.col("activity") != "", F.concat(F.lit("Activity: "), F.col("activity"))),
     ])
-    return flat.withColumn("search_text", text).withColumns({"num_skills": F.size("skills"), "num_certifications": F.size("certifications")})
+    return flat.withColumn("search_text", text).withColumns({"num_skills": F.size("skills").cast("long"), "num_certifications": F.size("certifications").cast("long")})

@@ -25,7 +25,7 @@ def final_order(df: DataFrame, score: str = "final_score", previous_rank: str =
     if k is not None:
         df = df.where(F.col(id_col).isNotNull()).orderBy(F.desc(score), previous_rank, id_col).limit(k)
     # Without k the whole order is one window; ranks of all rows need their global order.
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), previous_rank, id_col)))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), previous_rank, id_col)).cast("long"))
 
 
 def global_rank(df: DataFrame, order: list, id_col: str) -> DataFrame:
@@ -41,7 +41,7 @@ def global_rank(df: DataFrame, order: list, id_col: str) -> DataFrame:
     if not start:
         return kept.drop("_i", "_p").withColumn("rank", F.lit(None).cast("long"))
     offset = F.try_element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("_p"))
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("_p").orderBy("_i")) + offset).drop("_i", "_p")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("_p").orderBy("_i")).cast("long") + offset).drop("_i", "_p")
 
 
 def parse_verdict(text: Column) -> Column:

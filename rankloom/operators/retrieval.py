@@ -63,7 +63,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
 def top_k(scored: DataFrame, k: int, group: str = "query", score: str = "score", tie: str = "doc", descending: bool = True) -> DataFrame:
     """Adds rank (1..k) within each group; Spark limits each partition's groups before the shuffle."""
     order = F.col(score).desc() if descending else F.col(score).asc()
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, tie))).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, tie)).cast("long")).where(F.col("rank") <= k)
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -19,7 +19,7 @@ def _ranked(spark, sf_dir):
     """The first hundred candidates by years, without repeats."""
     d = table(spark, sf_dir, "candidates").where(F.col("candidate_id").rlike("^CAND_[0-9]{7}$")).groupBy("candidate_id").agg(F.max(F.coalesce("profile.years_of_experience", F.lit(0.0))).alias("y"))
     d = d.orderBy(F.desc("y"), "candidate_id").limit(100)
-    return d.select("candidate_id", F.row_number().over(Window.orderBy(F.desc("y"), "candidate_id")).alias("rank"), F.round(F.col("y") / 50, 6).alias("score"))
+    return d.select("candidate_id", F.row_number().over(Window.orderBy(F.desc("y"), "candidate_id")).cast("long").alias("rank"), F.round(F.col("y") / 50, 6).alias("score"))
 
 
 _RANKED = "SELECT candidate_id, row_number() OVER (ORDER BY y DESC, candidate_id) AS rank, round(y / 50, 6) AS score FROM (SELECT candidate_id, max(coalesce(profile.years_of_experience, 0.0)) AS y FROM candidates WHERE regexp_full_match(candidate_id, 'CAND_[0-9]{7}') GROUP BY 1) ORDER BY y DESC, candidate_id LIMIT 100"

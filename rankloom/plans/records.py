@@ -71,7 +71,7 @@ def shuffle_order(spark, sf_dir):
     d = records.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 11).limit(500)
     from pyspark.sql import Window
 
-    return d.withColumn("place", F.row_number().over(Window.orderBy(records.shuffle_key("doc_id", 11), "doc_id")))
+    return d.withColumn("place", F.row_number().over(Window.orderBy(records.shuffle_key("doc_id", 11), "doc_id")).cast("long"))
 
 
 @query("point_lookup", "SELECT doc_id, doc_type, employer FROM documents WHERE doc_id = 77")

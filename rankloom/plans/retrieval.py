@@ -145,7 +145,7 @@ def vector_delete(spark, sf_dir):
 
 @query("vector_get", "SELECT vec_id, label, len(embedding) AS dim FROM embeddings WHERE vec_id = 42")
 def vector_get(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id = 42").select("vec_id", "label", F.size("embedding").alias("dim"))
+    return table(spark, sf_dir, "embeddings").where("vec_id = 42").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
 
 
 _FUSION_SQL = f"""

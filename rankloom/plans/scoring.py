@@ -79,7 +79,7 @@ def experience_match(spark, sf_dir):
     return _feature(spark, sf_dir, "raw.experience_gap_years", "normalized.experience_match")
 
 
-@query("set_any_match", f"SELECT row_id, CASE WHEN list_has_any(['b.tech', 'm.tech'], {_lower('d')}) THEN 1.0 ELSE 0.0 END AS education_match, CASE WHEN list_has_any(['Arvania', 'Drenland'], p) THEN 1.0 ELSE 0.0 END AS location_match FROM ({_CAND})")
+@query("set_any_match", f"SELECT row_id, CASE WHEN list_has_any(['b.tech', 'm.tech'], {_lower('d')}) THEN 1.0::DOUBLE ELSE 0.0 END AS education_match, CASE WHEN list_has_any(['Arvania', 'Drenland'], p) THEN 1.0::DOUBLE ELSE 0.0 END AS location_match FROM ({_CAND})")
 def set_any_match(spark, sf_dir):
     return _feature(spark, sf_dir, "normalized.education_match", "normalized.location_match")
 
@@ -154,7 +154,7 @@ def positional_rank(spark, sf_dir):
 @query("topk_per_group", "SELECT candidate_id, name, proficiency, rank FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY proficiency DESC NULLS LAST, skill_id) AS rank FROM skills) WHERE rank <= 3")
 def topk_per_group(spark, sf_dir):
     w = Window.partitionBy("candidate_id").orderBy(F.desc_nulls_last("proficiency"), "skill_id")
-    return table(spark, sf_dir, "skills").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("candidate_id", "name", "proficiency", "rank")
+    return table(spark, sf_dir, "skills").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("candidate_id", "name", "proficiency", "rank")
 
 
 def _replies(spark, sf_dir):

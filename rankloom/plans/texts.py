@@ -15,12 +15,12 @@ _MAP = lambda d: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + "}
 @query("tokenize_stats", f"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)")
 def tokenize_stats(spark, sf_dir):
     w = text.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"))
+    return table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
 @query("minimal_tokens", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s\\x{0b}]+'), lambda x: x <> '')) AS n FROM documents")
 def minimal_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"), "minimal")).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"), "minimal")).cast("long").alias("n"))
 
 
 @query("stopword_filter", "SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+')) AS w FROM documents) WHERE w IN (" + ", ".join(f"'{x}'" for x in text.STOP_WORDS) + ") GROUP BY w")
