@@ -177,7 +177,7 @@ def parse_name(text: str, institution: bool = False) -> Name | None:
     """Parts of a typed name; None if it stands for nothing. Added places are left out."""
     if stands_for_nothing(text):
         return None
-    s = _spelt_out(plain(_apart(text)))
+    s = _spelt_out(re.sub(r"(?<=\w)['’`](?=\w)", "", plain(_apart(text))))
     s = re.sub(r"\s*\([^()]{2,}\)\W*$", "", s)
     s = re.sub(r"\(\s*p\s*\)", " pvt ", s)
     pieces = [p for p in s.split(",") if re.search(r"\w", p)] or [s]
