@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import let, tokens
+from rankloom.session import when_small
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, strategy: str = "standard") -> DataFrame:
@@ -40,7 +41,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
     words = tokenised(docs, id_col, text_col)
     q = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
     stats = corpus_stats(words)
-    wanted = q.select("term").distinct()
+    wanted = when_small(q.select("term").distinct(), 100_000)
     postings = (
         words.select("doc", F.size("words").alias("len"), F.explode("words").alias("term"))
         .join(wanted, "term", "left_semi").groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))

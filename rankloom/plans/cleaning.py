@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import intervals, nested, rejects
 from rankloom.plans.catalogue import query, table
+from rankloom.session import spread
 
 _SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _FIELD = r"(?s)(?:\"(?:[^\"]|\"\")*\"|[^\",]*)"
@@ -25,7 +26,7 @@ SELECT raw_id, reason FROM r WHERE reason IS NOT NULL"""
 
 @query("p1_found", _P1)
 def p1_found(spark, sf_dir):
-    found = rejects.rejected(rejects.parse_records(table(spark, sf_dir, "raw_records")))
+    found = rejects.rejected(rejects.parse_records(spread(table(spark, sf_dir, "raw_records"))))
     return found.where("reason <> 'kind'").select("raw_id", "reason")
 
 
@@ -36,12 +37,12 @@ def p1_reason_counts(spark, sf_dir):
 
 @query("p1_loaded_manifests")
 def p1_loaded_manifests(spark, sf_dir):
-    return rejects.loaded(rejects.parse_records(table(spark, sf_dir, "raw_records")), rejects.MANIFEST)
+    return rejects.loaded(rejects.parse_records(spread(table(spark, sf_dir, "raw_records"))), rejects.MANIFEST)
 
 
 @query("p1_loaded_candidates")
 def p1_loaded_candidates(spark, sf_dir):
-    return rejects.loaded(rejects.parse_records(table(spark, sf_dir, "raw_records")), rejects.CANDIDATE)
+    return rejects.loaded(rejects.parse_records(spread(table(spark, sf_dir, "raw_records"))), rejects.CANDIDATE)
 
 
 _P3_PLACES = (("profile",), ("career_history",), ("redrob_signals",), ("redrob_signals", "expected_salary_range_inr_lpa"), ("redrob_signals", "skill_assessment_scores"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text
 from rankloom.operators import metrics, retrieval
 from rankloom.plans.catalogue import query, table
-from rankloom.session import checkpoint, when_small
+from rankloom.session import checkpoint, spread, when_small
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 #: A query that repeats a term.
@@ -38,22 +38,26 @@ ONE_SQL = _bm25_sql(f"SELECT 1 AS query, '{_ONE}' AS qt", 100)
 _MANY_SQL = _bm25_sql("SELECT item_id AS query, text AS qt FROM eval_items", 10)
 
 
+def _docs(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _one(spark):
     return spark.createDataFrame([(1, _ONE)], "query int, qt string")
 
 
 def _many(spark, sf_dir, k=10):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items").select("item_id", F.col("text").alias("qt")), "doc_id", "text", "item_id", "qt", k)
+    return retrieval.bm25(_docs(spark, sf_dir), table(spark, sf_dir, "eval_items").select("item_id", F.col("text").alias("qt")), "doc_id", "text", "item_id", "qt", k)
 
 
 @query("bm25_topk", ONE_SQL)
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), _one(spark), "doc_id", "text", "query", "qt", 100)
+    return retrieval.bm25(_docs(spark, sf_dir), _one(spark), "doc_id", "text", "query", "qt", 100)
 
 
 @query("bm25_okapi_topk", _bm25_sql(f"SELECT 1 AS query, '{_ONE}' AS qt", 100, True))
 def bm25_okapi_topk(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), _one(spark), "doc_id", "text", "query", "qt", 100, idf="okapi")
+    return retrieval.bm25(_docs(spark, sf_dir), _one(spark), "doc_id", "text", "query", "qt", 100, idf="okapi")
 
 
 @query("bm25_multi_query", _MANY_SQL)

@@ -54,3 +54,13 @@ def when_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan (no shuffle in its plan) over at least as many partitions as there are cores.
+
+    Only files of few row groups are spread, before work that is dear per row; a large input has partitions enough and
+    stays as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
