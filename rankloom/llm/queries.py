@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, canon, leak, names, residue
+from rankloom.session import spread
 
 QUERIES = {}
 ORACLES = {}
@@ -24,9 +25,13 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark, sf_dir):
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query("p6_ids")
 def p6_ids(spark, sf_dir):
-    return bpe.encode_column(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bpe.encode_column(_documents(spark, sf_dir))
 
 
 @_query("p6_roundtrip", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
@@ -36,13 +41,13 @@ def p6_roundtrip(spark, sf_dir):
 
 @_query("p7_found")
 def p7_found(spark, sf_dir):
-    d = leak.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    d = leak.find_leaks(_documents(spark, sf_dir), _table(spark, sf_dir, "eval_items"))
     return d.select("doc_id", "item_id")
 
 
 @_query("p7_passages")
 def p7_passages(spark, sf_dir):
-    return leak.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    return leak.find_leaks(_documents(spark, sf_dir), _table(spark, sf_dir, "eval_items"))
 
 
 @_query("p7_items")
@@ -53,12 +58,12 @@ def p7_items(spark, sf_dir):
 
 @_query("p8_found")
 def p8_found(spark, sf_dir):
-    return residue.find_residue(_table(spark, sf_dir, "documents")).select("doc_id")
+    return residue.find_residue(_documents(spark, sf_dir)).select("doc_id")
 
 
 @_query("p8_windows")
 def p8_windows(spark, sf_dir):
-    d = residue.find_residue(_table(spark, sf_dir, "documents"))
+    d = residue.find_residue(_documents(spark, sf_dir))
     return d.select("doc_id", "coverage", F.explode("windows").alias("w")).select("doc_id", "coverage", F.col("w.class").alias("class"), "w.begin", "w.end")
 
 
@@ -71,7 +76,7 @@ def p5_found(spark, sf_dir):
 
 
 def _p2(spark, sf_dir):
-    return {t: _table(spark, sf_dir, t) for t in ("experience", "locations", "skills")}, _table(spark, sf_dir, "ref_values")
+    return {t: spread(_table(spark, sf_dir, t)) for t in ("experience", "locations", "skills")}, _table(spark, sf_dir, "ref_values")
 
 
 @_query("p2_found")
