@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import strip
 from rankloom.operators import export, ranking, retrieval
 from rankloom.operators.profiles import build_profiles
 from rankloom.operators.records import keep_first, split_valid
@@ -64,7 +65,7 @@ def stage(name: str) -> Callable[[Stage], Stage]:
 @stage("load")
 def load(s: State) -> None:
     """Valid rows, first of each id; the others go to ``rejected``."""
-    good, bad = split_valid(s.frames["candidates"], "candidate_id", strict=True)
+    good, bad = split_valid(s.frames["candidates"].withColumn("candidate_id", strip(F.col("candidate_id"))), "candidate_id", strict=True)
     s.frames["valid"] = keep_first(good, "candidate_id", ["ingested_at", "row_id"])
     s.frames["rejected"] = bad
 
@@ -113,3 +114,17 @@ def run(spark: SparkSession, candidates: DataFrame, queries: DataFrame, config:
             s.errors.append({"node_name": "load", "error": "EmptyDataset", "message": "no valid rows"})
             break
     return s
+
+
+def benchmark(spark: SparkSession, candidates: DataFrame, queries: DataFrame, runs: dict[str, dict], measure: Callable[[State], dict[str, float]]) -> dict[str, dict]:
+    """Runs the stages once per named set of configuration overrides; a run that fails is reported and doesn't stop the others."""
+    from rankloom.sources.files import load_config
+
+    out: dict[str, dict] = {}
+    for name, overrides in runs.items():
+        try:
+            s = run(spark, candidates, queries, load_config(None, **overrides))
+            out[name] = {"metrics": measure(s), "stages": s.audit}
+        except Exception as e:  # noqa: BLE001 - isolated by design
+            out[name] = {"error": f"{type(e).__name__}: {str(e)[:300]}"}
+    return out
