@@ -80,7 +80,7 @@ def export(df: DataFrame, path: str, order: str = "rank") -> dict[str, Any]:
 
 
 def save_bm25_index(docs: DataFrame, id_col: str, text_col: str, path: str, buckets: int = 64, **params: float) -> None:
-    """Postings bucketed by term, term and corpus statistics, and the parameters, as Parquet and JSON."""
+    """Postings bucketed by term, term and corpus statistics, and the parameters, as Parquet and JSON, on any file system Spark knows."""
     from rankloom.operators.retrieval import corpus_stats, term_stats, tokenised
 
     words = tokenised(docs, id_col, text_col)
@@ -88,15 +88,15 @@ def save_bm25_index(docs: DataFrame, id_col: str, text_col: str, path: str, buck
     postings.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     term_stats(words).write.mode("overwrite").parquet(f"{path}/terms")
     corpus_stats(words).write.mode("overwrite").parquet(f"{path}/corpus")
-    write_atomic(f"{path}/meta.json", json.dumps({"k1": 1.5, "b": 0.75, "buckets": buckets} | params))
+    meta = {"k1": 1.5, "b": 0.75} | params
+    docs.sparkSession.createDataFrame([(float(meta["k1"]), float(meta["b"]), buckets)], "k1 double, b double, buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
 def search_bm25_index(spark: SparkSession, path: str, terms: list[str], k: int = 10) -> DataFrame:
     """doc, score, rank from a saved index; only the buckets of the query's terms are read."""
     from collections import Counter
 
-    with open(f"{path}/meta.json", encoding="utf-8") as f:
-        m = json.load(f)
+    m = spark.read.schema("k1 double, b double, buckets int").json(f"{path}/meta").first().asDict()
     q = spark.createDataFrame(sorted(Counter(terms).items()), "term string, qtf long")
     buckets = [r[0] for r in q.select(F.pmod(F.xxhash64("term"), F.lit(m["buckets"]))).distinct().collect()]
     p = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(set(terms))))

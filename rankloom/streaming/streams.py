@@ -18,7 +18,7 @@ def windowed_counts(events: DataFrame, ts: str, key: str, value: str, window: st
     """Counts and sums per key and window; events later than ``late`` are dropped by the watermark."""
     e = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     w = F.window("_ts", window, slide) if slide else F.window("_ts", window)
-    return e.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "total")
+    return e.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), key, "n", "total")
 
 
 def first_of_each(records: DataFrame, id_col: str, ts: str, late: str = "1 day") -> DataFrame:

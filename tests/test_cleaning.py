@@ -44,7 +44,20 @@ def test_broken_neighbours_do_not_matter(spark):
 def test_records_empty_and_unknown_and_long(spark):
     assert reasons(spark, []) == {}
     assert reasons(spark, [OK], "other") == {0: "kind"}
-    assert reasons(spark, [OK.replace("A B", "x" * 3_000_000)]) == {0: None}
+    assert reasons(spark, [OK.replace("A B", "x" * 3_000_000), OK]) == {0: None, 1: None}
+
+
+def test_records_beyond_the_reader(spark, monkeypatch):
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        r = rejects._Reader(folder)
+        monkeypatch.setattr(r, "_read", lambda *a: (_ for _ in ()).throw(r.error("no memory")))
+        got = rejects.judge([("candidate", OK), ("candidate", OK + ",x"), ("candidate", OK.replace("A B", 'x"')), ("candidate", None)], (rejects.CANDIDATE, rejects.MANIFEST), r)
+    assert [g and g[0] for g in got] == [None, "columns", "quoting", None] and got[0][2][2] == "head, line"
+
+
+def test_records_typed(spark):
     d = spark.createDataFrame([(1, "candidate", OK, "b", "r", "f"), (1, "candidate", OK, "b", "r", "f")], LINES)
     rows = rejects.loaded(rejects.parse_records(d), rejects.CANDIDATE).collect()
     assert len(rows) == 2 and rows[0].headline == "head, line" and rows[0].years_of_experience == 3.5 and rows[0].signup_date == dt.date(2020, 1, 1)
