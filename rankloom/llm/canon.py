@@ -1,7 +1,7 @@
 """Free-typed values to the entries of a reference list (problem 2).
 
-The reference lists (their size is checked; only then are they broadcast) are indexed by symmetric
-deletes: every form of an entry (its words, their turned order, its shortened and joined forms) is
+The reference lists (their size is counted; beyond a block they are taken block by block, each pass
+keeping the better entry) are indexed by symmetric deletes: every form of an entry (its words, their turned order, its shortened and joined forms) is
 entered with up to ``DELETES`` characters of its beginning left out, and a value is looked up with
 the same deletes of its own, so every form within the bound is a candidate. Candidates are ranked
 by weighted Damerau-Levenshtein distance, then by how often the entry is written exactly in the
@@ -25,12 +25,14 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.spelling import distance, deletions, parse_name, plain, shortens, stands_for_nothing, weighted_distance
+from rankloom.llm.spelling import deletions, distance, parse_name, plain, shortens, stands_for_nothing, weighted_distance
+from rankloom.session import when_small
 
-#: Entries above this are looked up by a join on the deletes instead of a broadcast index.
+#: Entries of one broadcast index; longer lists are taken in blocks of this size, one narrow pass each.
 MOST_ENTRIES = 200_000
 DELETES = 2
 PREFIX = 8
+WORST = (1e9, 0.0, 0)
 
 #: What the trades call these skills and words of job titles, where no rule gives it.
 ALIASES = {
@@ -152,21 +154,25 @@ class ListIndex:
 
     def find(self, value: str) -> int:
         """ref_id of the entry meant, or 0."""
+        return self.match(value)[1]
+
+    def match(self, value: str) -> tuple[tuple[float, float, int], int]:
+        """(how well, the smaller the better; ref_id of the entry meant), or (worst, 0)."""
         if stands_for_nothing(value):
-            return 0
-        return self._company(value) if self.company else self._words(value)
+            return WORST, 0
+        level, found = (0, self._company(value)) if self.company else self._words(value)
+        r = self._best(found)
+        return ((level * 100 + round(found[r], 3), -self.often[r], r), r) if r else (WORST, 0)
 
     # Values made of words: titles, skills, cities.
 
-    def _words(self, value: str) -> int:
-        for text in self._without_remarks(plain(_split_capitals(value))):
+    def _words(self, value: str) -> tuple[int, dict[int, float]]:
+        """How much had to be left out, and the candidates."""
+        for level, text in enumerate(self._without_remarks(plain(_split_capitals(value)))):
             w = re.findall(r"[^\W_]+", text)
-            if not w:
-                continue
-            found = self._candidates(w)
-            if found:
-                return self._best(found)
-        return 0
+            if w and (found := self._candidates(w)):
+                return level, found
+        return 0, {}
 
     @staticmethod
     def _without_remarks(s: str) -> list[str]:
@@ -245,10 +251,10 @@ class ListIndex:
 
     # Companies.
 
-    def _company(self, value: str) -> int:
+    def _company(self, value: str) -> dict[int, float]:
         n = parse_name(value)
         if n is None:
-            return 0
+            return {}
         found: dict[int, float] = {}
         f = n.family
         tries = {"".join(f)} | ({"".join(f[::-1])} if len(f) > 1 else set())
@@ -256,8 +262,6 @@ class ListIndex:
             bound = 1.7 if len(s) <= 11 else 3.6
             for r, d in self.near_company(s, bound).items():
                 found[r] = min(d, found.get(r, 99.0))
-        if not found:
-            return 0
         # The kind must agree; without one, a legal form or the only company of these families decides.
         if n.kind:
             found = {r: d for r, d in found.items() if self.names[r].kind == n.kind}
@@ -265,7 +269,7 @@ class ListIndex:
         close = [r for r, d in found.items() if d <= best + 0.5]
         if len(close) > 1 and n.legal:
             close = [r for r in close if self.names[r].legal == n.legal] or close
-        return self._best({r: found[r] for r in close})
+        return {r: found[r] for r in close}
 
     def near_company(self, s: str, bound: float) -> dict[int, float]:
         if s in self.forms:
@@ -322,10 +326,8 @@ def _word_cost(x: str, y: str) -> float:
 def match_columns(tables: dict[str, DataFrame], refs: DataFrame, columns: tuple[Column, ...] = COLUMNS) -> DataFrame:
     """field, row_id, ref_id for each value of the columns that isn't written exactly as an entry."""
     spark = refs.sparkSession
-    size = refs.count()
-    if size > MOST_ENTRIES:
-        raise ValueError(f"{size} entries: split the lists by field before matching; an index of that size isn't broadcast")
-    entries = [(r.field, r.ref_id, r.canonical) for r in refs.select("field", "ref_id", "canonical").where("canonical IS NOT NULL").collect()]
+    refs = refs.select("field", F.col("ref_id").cast("long").alias("ref_id"), F.col("canonical").alias("value")).where("value IS NOT NULL")
+    blocks = max(1, -(-refs.count() // MOST_ENTRIES))
     typed = []
     for c in columns:
         d = tables[c.table].where(c.where) if c.where else tables[c.table]
@@ -334,22 +336,30 @@ def match_columns(tables: dict[str, DataFrame], refs: DataFrame, columns: tuple[
     for d in typed[1:]:
         rows = rows.unionByName(d)
     rows = rows.where(F.col("value").rlike(r"(?U)\S"))
-    # How often each entry is written exactly: a small result, one row per entry.
-    exact = rows.join(F.broadcast(refs.select("field", F.col("canonical").alias("value"), F.lit(True).alias("same"))), ["field", "value"], "left")
-    often = {(r.field, r.value): r.n for r in exact.where("same").groupBy("field", "value").agg(F.count("*").alias("n")).collect()}
-    lists: dict[str, list[tuple[int, str, int]]] = defaultdict(list)
-    for f, r, t in entries:
-        lists[f].append((r, t, often.get((f, t), 0)))
-    sent = spark.sparkContext.broadcast({c.field: lists.get(c.field, []) for c in columns})
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        index = {f: ListIndex(f, e) for f, e in sent.value.items()}
-        find = lru_cache(1 << 18)(lambda f, v: index[f].find(v))
-        for b in batches:
-            fields, values = b.column(0), b.column(2).to_pylist()
-            got = [find(f, v) for f, v in zip(fields.to_pylist(), values, strict=True)]
-            yield pa.RecordBatch.from_arrays([fields, b.column(1), pa.array(got, pa.int64())], names=["field", "row_id", "ref_id"])
-
-    return exact.where("same IS NULL").select("field", "row_id", "value").mapInArrow(run, "field string, row_id long, ref_id long")
+    exact = rows.join(when_small(refs.select("field", "value", F.lit(True).alias("same")).distinct()), ["field", "value"], "left")
+    # How often each entry is written exactly: one row per entry.
+    often = exact.where("same").groupBy("field", "value").agg(F.count("*").alias("n"))
+    counted = refs.join(often, ["field", "value"], "left").select("field", "ref_id", "value", F.coalesce("n", F.lit(0)).alias("n"))
+    out = exact.where("same IS NULL").select("field", "row_id", "value", *[F.lit(x).alias(c) for c, x in zip(("cost", "rare", "ref_id"), (float(WORST[0]), float(WORST[1]), WORST[2]), strict=True)])
+    out = out.withColumn("ref_id", F.col("ref_id").cast("long"))
+    for k in range(blocks):
+        part = counted if blocks == 1 else counted.where(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == k)
+        lists: dict[str, list[tuple[int, str, int]]] = defaultdict(list)
+        for r in part.collect():  # a block of at most about MOST_ENTRIES
+            lists[r.field].append((r.ref_id, r.value, r.n))
+        sent = spark.sparkContext.broadcast({c.field: lists.get(c.field, []) for c in columns})
+
+        def run(batches: Iterator, sent=sent) -> Iterator:
+            import pyarrow as pa
+
+            index = {f: ListIndex(f, e) for f, e in sent.value.items()}
+            match = lru_cache(1 << 18)(lambda f, v: index[f].match(v)[0])
+            for b in batches:
+                cols = b.to_pydict()
+                had = zip(cols["cost"], cols["rare"], cols["ref_id"], strict=True)
+                got = [min(h, match(f, v)) for f, v, h in zip(cols["field"], cols["value"], had, strict=True)]
+                arrays = [b.column(0), b.column(1), b.column(2), *[pa.array([g[j] for g in got], t) for j, t in enumerate((pa.float64(), pa.float64(), pa.int64()))]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["field", "row_id", "value", "cost", "rare", "ref_id"])
+
+        out = out.mapInArrow(run, "field string, row_id long, value string, cost double, rare double, ref_id long")
+    return out.select("field", "row_id", "ref_id")

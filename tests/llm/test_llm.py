@@ -231,6 +231,16 @@ def test_lookup_finds_all_a_scan_finds():
         assert r in scan
 
 
+def test_long_lists_in_blocks(spark, monkeypatch):
+    refs = spark.createDataFrame([("t", i, t) for i, t in enumerate(["alphabet soup", "gamma ray", "delta wing", "omega point", "kappa mode", "sigma field"], 1)], "field string, ref_id long, canonical string")
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(["alphabt soup", "gama ray", "delta wing (remote)", "omega piont", "cappa mode", "nothing here", "n/a", "sigma field II"])], "id long, v string")
+    col = (canon.Column("t", "x", "id", "v"),)
+    get = lambda: sorted(tuple(r) for r in canon.match_columns({"x": rows}, refs, col).collect())
+    whole = get()
+    monkeypatch.setattr(canon, "MOST_ENTRIES", 2)
+    assert get() == whole and [r[2] for r in whole] == [1, 2, 3, 4, 5, 0, 0, 6]
+
+
 def test_columns_over_tables(spark):
     refs = spark.createDataFrame([("t", 1, "Alpha Beta"), ("t", 2, "Gamma"), ("t", 3, None)], "field string, ref_id long, canonical string")
     col = (canon.Column("t", "x", "id", "v"),)
