@@ -76,10 +76,12 @@ def bm25_term_stats(spark, sf_dir):
     return retrieval.term_stats(retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-@query("index_upsert", "SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, upper(text) FROM documents WHERE doc_id % 10 = 3")
+@query("index_upsert", "SELECT doc_id, CASE WHEN doc_type = 'resume' THEN upper(text) ELSE text END AS text FROM documents")
 def index_upsert(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return retrieval.upsert(d, d.where("doc_id % 10 = 3").withColumn("text", F.upper("text")), "doc_id")
+    """All résumés come again, changed."""
+    d = table(spark, sf_dir, "documents")
+    changed = d.where("doc_type = 'resume'").select("doc_id", F.upper("text").alias("text"))
+    return retrieval.upsert(d.select("doc_id", "text"), changed, "doc_id")
 
 
 @query("index_remove", "SELECT doc_id, text FROM documents WHERE employer IS DISTINCT FROM (SELECT employer FROM documents WHERE employer IS NOT NULL GROUP BY employer ORDER BY count(*) DESC, employer LIMIT 1)")
