@@ -76,11 +76,11 @@ def bm25_term_stats(spark, sf_dir):
     return retrieval.term_stats(retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-@query("index_upsert", "SELECT doc_id, CASE WHEN doc_type = 'resume' THEN upper(text) ELSE text END AS text FROM documents")
+@query("index_upsert", "SELECT doc_id, CASE WHEN doc_type = 'resume' THEN 'second version: ' || text ELSE text END AS text FROM documents")
 def index_upsert(spark, sf_dir):
     """All résumés come again, changed."""
     d = table(spark, sf_dir, "documents")
-    changed = d.where("doc_type = 'resume'").select("doc_id", F.upper("text").alias("text"))
+    changed = d.where("doc_type = 'resume'").select("doc_id", F.concat(F.lit("second version: "), "text").alias("text"))
     return retrieval.upsert(d.select("doc_id", "text"), changed, "doc_id")
 
 
