@@ -23,7 +23,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, strategy: str = "stan
 
 
 def corpus_stats(words: DataFrame) -> DataFrame:
-    """One row: documents and their average length."""
+    """One row: documents and their average length. Joined to others it only adds two columns, whatever their size."""
     return words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_len"))
 
 
