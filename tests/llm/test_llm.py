@@ -206,6 +206,22 @@ def test_hot_family_names_are_split(spark, monkeypatch):
     assert got == {(i, i + len(base)) for i in range(len(base))}
 
 
+def test_links_do_not_depend_on_where_shards_are_split(spark, monkeypatch):
+    texts = [
+        "Bafenta & Guptasharanya Foods", "Bafenta & Gup. Foods", "Bafenta & Guptxsharxnyx Foods", "Bafentaguptasharanya Foods", "Bafennta & Guptasharnya Foods",
+        *[f"Bafenta & {b} Foods" for b in ("Galbirdil", "Venmorkas", "Tirzonpes", "Lolsesges", "Harfenbok", "Mensosnon", "Yudsisrar", "Kospomil")], *[f"{b} & Guptasharanya Foods" for b in ("Welmorkin", "Zandolfer", "Pilgorsan", "Hentovrik", "Bresnalko", "Quorvimes")],
+    ]
+    rows = spark.createDataFrame([("company", i, t) for i, t in enumerate(texts)], "label string, id long, text string")
+
+    def links():
+        return {(r.id_a, r.id_b) for r in names.find_spellings(rows).collect()}
+
+    whole = links()
+    assert {(0, 1), (0, 2), (0, 3), (0, 4)} <= whole, whole
+    monkeypatch.setattr(names, "HOT", 5)
+    assert links() == whole
+
+
 # Reference lists.
 
 LIST = [(1, "Data Engineer"), (2, "Senior Software Engineer"), (3, "Software Engineer"), (4, "Human Resources Manager")]
