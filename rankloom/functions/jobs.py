@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rankloom.functions.text import extract_terms
 
 #: Headings that open a section, in the order they are tried.
 SECTIONS = (
@@ -29,6 +32,9 @@ YEARS_RANGE = r"(\d+)\s*[-–]\s*(\d+)\s*years?"
 DEGREES = (("bachelor", r"bachelors?(?:'s)?(?: degree)?|b\.?tech|b\.?sc|b\.?e|b\.?s|ba"), ("master", r"masters?(?:'s)?(?: degree)?|m\.?tech|m\.?sc|m\.?e|m\.?s|ma"), ("phd", r"ph\.?d|doctorate"), ("mba", r"mba|master of business administration"))
 FIELDS = ("computer science", "engineering", "electrical engineering", "software engineering", "information technology", "it", "data science", "mathematics", "statistics", "physics", "computer engineering", "related technical field", "relevant field")
 CURRENCIES = (("USD", r"\$|usd"), ("EUR", r"€|eur"), ("GBP", r"£|gbp"), ("INR", r"₹|rs\.?|inr|lpa|lakhs?"))
+#: White space, and the technical keywords looked for unless others are named.
+WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+TECHNICAL = ("Apache Kafka", "Kafka", "Apache Spark", "Spark", "Python", "JavaScript", "TypeScript", "Power BI", "Machine Learning", "Scikit-learn")
 MANDATORY = r"(?i)\b(must|required|mandatory|essential|at least|minimum|expected)\b"
 PREFERRED = r"(?i)\b(preferred|nice to have|plus|bonus|advantage|desirable)\b"
 
@@ -106,7 +112,7 @@ def responsibilities(section: Column) -> Column:
     return F.filter(lines, lambda x: F.size(F.split(x, r"\s+")) > 3)
 
 
-def keywords(text: Column, terms: list[str]) -> Column:
+def keywords(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
     """Distinct whole-word hits of the terms as written, sorted; where several fit, the first listed."""
     import re
 
@@ -147,10 +153,51 @@ def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return parts.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(id_col, "section", F.trim("content").alias("content"))
 
 
-def parse_jobs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per job description with all that one pass over the text gives."""
+def all_sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The sections, and of each text that isn't null: its whole as unclassified, or as main_content if it has none.
+
+    In main_content the white space around is left out and each gap between paragraphs is one blank line. Ids are unique.
+    """
+    found = sections(df, id_col, text_col)
+    text = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("content"))
+    ids = found.select(id_col).distinct()
+    whole = text.join(ids, id_col, "left_semi").select(id_col, F.lit("unclassified").alias("section"), "content")
+    inner = F.regexp_replace(F.regexp_replace("content", f"^{WS}+", ""), f"{WS}+\\z", "")
+    rest = text.join(ids, id_col, "left_anti").select(id_col, F.lit("main_content").alias("section"), F.regexp_replace(inner, f"\n{WS}*\n", "\n\n").alias("content"))
+    return found.unionByName(whole).unionByName(rest)
+
+
+def section_terms(df: DataFrame, parts: list[str], lexicon: list[str]) -> DataFrame:
+    """Adds ``terms``: the lexicon's terms in the named parts of parsed descriptions: texts, lists of texts, or lists of
+    structs of either; parts that aren't there count as empty."""
+
+    def walk(c: Column, t: T.DataType) -> Column:
+        """The texts of a value, as an array."""
+        none = F.array().cast("array<string>")
+        if isinstance(t, T.StringType):
+            return F.array(c)
+        if isinstance(t, T.StructType):
+            inner = [walk(c[f.name], f.dataType) for f in t.fields]
+            return F.flatten(F.array(none, *[F.coalesce(x, none) for x in inner]))
+        if isinstance(t, T.ArrayType):
+            return F.flatten(F.transform(F.coalesce(c, F.array().cast(t)), lambda x: F.coalesce(walk(x, t.elementType), none)))
+        return none
+
+    here = [walk(F.col(p), df.schema[p].dataType) for p in parts if p in df.columns]
+    joined = F.array_join(F.concat(F.array().cast("array<string>"), *[F.coalesce(x, F.array().cast("array<string>")) for x in here]), "\n")
+    return extract_terms(df.withColumn("_texts", joined), "_texts", lexicon).drop("_texts")
+
+
+def parse_jobs(df: DataFrame, id_col: str, text_col: str, technical: tuple[str, ...] = TECHNICAL) -> DataFrame:
+    """One row per job description with all that the text gives; responsibilities are the lines of that section."""
     t = F.col(text_col)
-    return df.select(
+    duties = sections(df, id_col, text_col).where("section = 'responsibilities'").select(id_col, responsibilities(F.col("content")).alias("responsibilities"))
+    taught = degrees(df, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("degree", "field", "mandatory"))).alias("education"))
+    parsed = df.select(
         id_col, title(t).alias("title"), company(t).alias("company"), work_mode(t).alias("work_mode"), min_years(t).alias("min_years"), max_years(t).alias("max_years"), seniority(t).alias("seniority"),
         salary(t).alias("salary"), requirement_lines(t, MANDATORY).alias("mandatory"), requirement_lines(t, PREFERRED).alias("preferred"), certifications(t).alias("certifications"),
+        keywords(t, technical).alias("technical"),
     )
+    out = parsed.join(duties, id_col, "left").join(taught, id_col, "left")
+    empty = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("responsibilities", "education")}
+    return out.withColumns(empty)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions import jobs, text
-from rankloom.plans.catalogue import query, table
+from rankloom.plans.catalogue import ORACLES, query, table
 from rankloom.plans.retrieval import words_sql
 
 _MAP = lambda d: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + "}"
@@ -172,6 +172,18 @@ def section_split(spark, sf_dir):
     return jobs.sections(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
 
 
+_INNER = f"regexp_replace(regexp_replace(regexp_replace(text, '^{jobs.WS}+', ''), '{jobs.WS}+\\z', ''), '\\n{jobs.WS}*\\n', chr(10) || chr(10), 'g')"
+
+
+@query("section_split_whole", f"""
+WITH f AS ({ORACLES["section_split"]})
+SELECT * FROM f UNION ALL SELECT doc_id, 'unclassified', text FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM f)
+UNION ALL SELECT doc_id, 'main_content', {_INNER} FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM f)""")
+def section_split_whole(spark, sf_dir):
+    """The sections with the whole text beside them, or in their place; section_split gives the found ones alone."""
+    return jobs.all_sections(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
+
+
 @query("job_parse")
 def job_parse(spark, sf_dir):
     return jobs.parse_jobs(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")

@@ -40,6 +40,17 @@ def test_job_descriptions(spark):
     assert {(r.section, r.content) for r in jobs.sections(d, "id", "t").collect()} == {("requirements", "Go"), ("benefits", "lunch")}
 
 
+def test_sections_and_parts_are_whole(spark):
+    one = "Responsibilities:\nBuild the data platform daily\nLead\n\nBachelor degree in physics required. Python"
+    d = spark.createDataFrame([(1, one), (2, " plain\n \n\ntext\n"), (3, None), (4, "Benefits\n")], "id int, t string")
+    assert {tuple(r) for r in jobs.all_sections(d, "id", "t").collect()} == {(1, "responsibilities", "Build the data platform daily\nLead"), (1, "unclassified", one), (2, "main_content", "plain\n\ntext"), (4, "main_content", "Benefits")}
+    p = {r.id: r for r in jobs.parse_jobs(d, "id", "t").collect()}
+    assert len(p) == 4 and p[1].responsibilities == ["Build the data platform daily"] and p[1].technical == ["Python"] and p[2].responsibilities == p[2].education == []
+    assert [tuple(e) for e in p[1].education] == [("bachelor", "physics", True)]
+    parsed = spark.createDataFrame([(1, "Go", ["SQL x"], [("Rust", ["Java"])]), (2, None, None, None)], "id int, a string, b array<string>, c array<struct<n: string, m: array<string>>>")
+    assert {r.id: r.terms for r in jobs.section_terms(parsed, ["a", "b", "c", "none"], ["go", "sql", "rust", "java", "perl"]).collect()} == {1: ["go", "java", "rust", "sql"], 2: []}
+
+
 def test_text_functions(spark):
     get = lambda f, t: col(spark, f(F.col("t")), t=t)
     assert get(text.tokens, "The C++ Über-engineer, of_2!") == ["c", "über", "engineer", "of_2"] and get(text.tokens, None) == []
