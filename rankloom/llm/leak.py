@@ -125,7 +125,7 @@ class Automaton:
             back.append(prev)
         top = None
         ends = set(range(len(h))) - {p for p in back if p >= 0}
-        for x in sorted(ends, key=lambda x: -best[x])[:8]:
+        for x in sorted(ends, key=lambda x: -best[x]):
             chain = []
             y = x
             while y >= 0:

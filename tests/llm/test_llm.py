@@ -101,6 +101,19 @@ def test_leaks_against_brute_force():
         assert (i in found) == (n >= 15) or n in (13, 14), (n, found)
 
 
+def test_no_passage_is_lost_behind_near_misses():
+    rng = random.Random(3)
+    item = [f"v{chr(97 + i // 6)}{chr(97 + i % 6)}ord" for i in range(40)]
+    near = item[:]
+    for k in range(5, 40, 8):  # five words of eight agree, so these chains score more than 15 words and agree too little
+        near[k : k + 3] = ["zzzzord", "yyyyord", "xxxxord"]
+    odd = lambda n: " ".join(f"k{rng.randrange(10**6)}" for _ in range(n))
+    before = " . ".join(" ".join(near) + " " + odd(80) for _ in range(12))
+    text = " ".join(item)
+    assert not held(before, text) and held(" ".join(item[10:25]), text)
+    assert held(before + " " + " ".join(item[10:25]) + " " + odd(20), text) and held(" ".join(item[10:25]) + " " + odd(80) + " " + before, text)
+
+
 def test_leaks_over_a_table(spark):
     docs = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "", 0), (4, "z " * 200_000 + ITEM, 0), (1, ITEM, 0)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(7, ITEM), (8, None), (9, "..."), (10, ITEM)], "item_id long, text string")
