@@ -81,6 +81,14 @@ def shuffled(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.orderBy(shuffle_key(id_col, seed), id_col)
 
 
+def shuffle_places(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """Adds place, from 1, of every row in the seeded shuffle; no task holds them all."""
+    from rankloom.operators.ranking import global_rank
+
+    key = df.withColumn("_key", shuffle_key(id_col, seed))
+    return global_rank(key, ["_key", id_col], id_col).withColumnRenamed("rank", "place").drop("_key")
+
+
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """Exactly n rows (all, if there are fewer), the same for the same seed however the input is partitioned."""
     return shuffled(df, id_col, seed).limit(n)

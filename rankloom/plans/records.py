@@ -74,6 +74,12 @@ def shuffle_order(spark, sf_dir):
     return d.withColumn("place", F.row_number().over(Window.orderBy(records.shuffle_key("doc_id", 11), "doc_id")).cast("long"))
 
 
+@query("shuffle_places", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':11'), doc_id) AS place FROM documents")
+def shuffle_places(spark, sf_dir):
+    """The place of every document; shuffle_order reports the first 500."""
+    return records.shuffle_places(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 11)
+
+
 @query("point_lookup", "SELECT doc_id, doc_type, employer FROM documents WHERE doc_id = 77")
 def point_lookup(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("doc_id = 77").select("doc_id", "doc_type", "employer")

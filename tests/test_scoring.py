@@ -40,6 +40,15 @@ def test_job_descriptions(spark):
     assert {(r.section, r.content) for r in jobs.sections(d, "id", "t").collect()} == {("requirements", "Go"), ("benefits", "lunch")}
 
 
+def test_shuffle_places_every_row(spark):
+    from rankloom.operators import records
+
+    d = spark.range(1203).withColumnRenamed("id", "doc_id")
+    got = {r.place: r.doc_id for r in records.shuffle_places(d, "doc_id", 11).collect()}
+    assert sorted(got) == list(range(1, 1204)) and [got[k] for k in range(1, 1204)] == [r.doc_id for r in records.shuffled(d, "doc_id", 11).collect()]
+    assert records.shuffle_places(d.limit(0), "doc_id", 11).count() == 0
+
+
 def test_sections_and_parts_are_whole(spark):
     one = "Responsibilities:\nBuild the data platform daily\nLead\n\nBachelor degree in physics required. Python"
     d = spark.createDataFrame([(1, one), (2, " plain\n \n\ntext\n"), (3, None), (4, "Benefits\n")], "id int, t string")
