@@ -67,12 +67,28 @@ def p8_windows(spark, sf_dir):
     return d.select("doc_id", "coverage", F.explode("windows").alias("w")).select("doc_id", "coverage", F.col("w.class").alias("class"), "w.begin", "w.end")
 
 
+def _p5(spark, sf_dir):
+    jobs = _table(spark, sf_dir, "experience").where("origin = 'resume'").select(F.lit("company").alias("label"), F.col("exp_id").alias("id"), F.col("company").alias("text"))
+    schools = _table(spark, sf_dir, "education").select(F.lit("institution").alias("label"), F.col("edu_id").alias("id"), F.col("institution").alias("text"))
+    return jobs.unionByName(schools)
+
+
 @_query("p5_found")
 def p5_found(spark, sf_dir):
     """Employers of résumé rows and institutions, linked in one pass."""
-    jobs = _table(spark, sf_dir, "experience").where("origin = 'resume'").select(F.lit("company").alias("label"), F.col("exp_id").alias("id"), F.col("company").alias("text"))
-    schools = _table(spark, sf_dir, "education").select(F.lit("institution").alias("label"), F.col("edu_id").alias("id"), F.col("institution").alias("text"))
-    return names.find_spellings(jobs.unionByName(schools))
+    return names.find_spellings(_p5(spark, sf_dir))
+
+
+@_query("p5_clusters")
+def p5_clusters(spark, sf_dir):
+    """Every row with its organisation (the least id) and the number of rows it is linked to."""
+    return names.cluster_rows(_p5(spark, sf_dir))
+
+
+@_query("p5_undecided")
+def p5_undecided(spark, sf_dir):
+    """Spellings that fit several organisations equally well, and so join none."""
+    return names.undecided(_p5(spark, sf_dir))
 
 
 def _p2(spark, sf_dir):

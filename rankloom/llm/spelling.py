@@ -85,15 +85,25 @@ def shortens(t: str, w: str, least: int = 3) -> bool:
     return len(t) >= 3 and all(c in it for c in t) and (len(t) * 2 >= len(w) or not _VOWELS & set(t[1:]))
 
 
+class _Plain(dict):
+    """Character -> itself in lower case without marks and look-alikes; separators stay; for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if c.isalnum():
+            out = c.translate(FOLD)
+        else:
+            out = "" if unicodedata.category(c) in ("Cf", "Mn", "Me") else " " if c.isspace() else c
+        self[code] = out
+        return out
+
+
+_PLAIN = _Plain()
+
+
 def plain(text: str) -> str:
     """Lower case without marks, look-alikes and zero-width characters; separators stay."""
-    out = []
-    for c in unicodedata.normalize("NFKC", text):
-        if c.isalnum():
-            out.append(c.translate(FOLD))
-        elif unicodedata.category(c) not in ("Cf", "Mn", "Me"):
-            out.append(" " if c.isspace() else c)
-    return "".join(out)
+    return text.lower() if text.isascii() and text.isprintable() else unicodedata.normalize("NFKC", text).translate(_PLAIN)
 
 
 #: Stand-ins for no value, as people and systems write them.
@@ -105,50 +115,107 @@ def stands_for_nothing(text: str) -> bool:
     return not s or s in NO_VALUE or len(set(s.replace(" ", ""))) == 1 and len(s) > 1
 
 
-#: Lines of business, legal forms and kinds of institution, each with written forms that no rule gives.
-LINES = {
-    "foods": "food", "insurance": "insur ins", "technologies": "technology tech techs technolog", "systems": "system sys systms", "telecommunications": "telecom telecoms telecomm telco telecommunication",
-    "healthcare": "hlthcare health", "infrastructure": "infra infrastr", "pharmaceuticals": "pharma pharmaceut pharmaceutical", "logistics": "logist lgstcs logstics logistic", "motors": "motor mtrs",
-    "entertainment": "ent entertainmt", "agriculture": "agri agric agro", "analytics": "analyt anlytics analytic", "textiles": "textile text", "education": "educ edu", "consulting": "consultng consultancy consult",
-    "robotics": "robotic robo", "engineering": "engg engr eng", "energy": "engy enrgy", "chemicals": "chem chemical",
-}
-_LINE_TAILS = frozenset("mills co company".split())
-LEGAL = {"limited": "ltd lmtd", "private": "pvt p", "incorporated": "inc", "corporation": "corp corpn", "llp": "", "gmbh": "", "company": "co"}
+#: Legal forms with their written forms.
+LEGAL = {"limited": "ltd lmtd", "private": "pvt p", "incorporated": "inc", "corporation": "corp corpn", "llp": "", "gmbh": "", "company": "co", "llc": "", "plc": "", "pty": ""}
 _LEGAL = {w: k for k, v in LEGAL.items() for w in (k, *v.split())}
-CONCEPTS = {
-    "college": "coll clg col", "institute": "inst instt", "school": "sch schl", "academy": "acad acdmy", "university": "univ uni u universty unvrsty", "polytechnic": "poly polytech polytechnc",
-    "engineering": "engg engr eng", "technology": "tech technol", "medical": "med", "sciences": "sci science sc", "arts": "art", "management": "mgmt mgt mgmnt", "design": "dsgn des",
+#: Words that say what an organisation is or does, with written forms that no rule gives. They are hints:
+#: the kinds of a table are learned from it (``Kinds``), and these only help where a table is too small to learn from.
+HINTS = {
+    "company": {
+        "food": "", "insurance": "", "technology": "tech techs", "system": "", "telecommunication": "telco telecom telecoms", "healthcare": "health", "infrastructure": "infra", "pharmaceutical": "pharma", "logistics": "logistic", "motor": "",
+        "entertainment": "", "agriculture": "agro agric", "analytics": "analytic", "textile": "", "education": "edu", "consulting": "consultancy", "robotics": "robotic", "engineering": "engg", "energy": "", "chemical": "",
+    },
+    "institution": {"college": "", "institute": "", "school": "", "academy": "", "university": "", "polytechnic": "", "engineering": "engg", "technology": "tech", "medical": "", "science": "", "art": "", "management": "", "design": ""},
 }
-_CONCEPTS = {w: k for k, v in CONCEPTS.items() for w in (k, *v.split())}
-_INSTITUTION = (("engineering", "college of engineering"), ("technology", "institute of technology"), ("medical", "institute of medical sciences"), ("arts", "college of arts and science"), ("management", "school of management"), ("design", "academy of design"), ("university", "university"), ("polytechnic", "polytechnic"))
-_ACRONYMS = {"cas": "college of arts and science", "ims": "institute of medical sciences", "som": "school of management", "it": "institute of technology", "coe": "college of engineering", "aod": "academy of design", "iot": "institute of technology"}
-_LINES = {w: k for k, v in LINES.items() for w in (k, *v.split())}
+#: Words that only join others.
+_JOINING = frozenset("and of the fuer de et und y".split())
+#: Words that may follow a kind without changing it.
+_TAILS = frozenset("mills mill works group".split())
+_SPELT = frozenset("llp gmbh llc plc".split())
+
+
+def _stem(w: str) -> str:
+    """A kind in the singular."""
+    return w[:-3] + "y" if w.endswith("ies") and len(w) > 5 else w[:-1] if w.endswith("s") and not w.endswith(("ss", "ics")) and len(w) > 3 else w
+
+
+class Kinds:
+    """The words of one label that say what an organisation is, and what is a misspelling, shortening or acronym of them."""
+
+    def __init__(self, label: str, learned: dict[str, int], phrases: tuple[tuple[str, ...], ...] = ()) -> None:
+        """learned: frequent words with their numbers; phrases: frequent runs of such words, as they are written."""
+        hints = HINTS.get(label, {})
+        self.exact: dict[str, str] = {}
+        self.full: list[str] = []
+        for w, forms in hints.items():
+            self._add(w, w)
+            for x in forms.split():
+                self.exact[x] = w
+        for w in sorted(learned, key=lambda w: (-learned[w], w)):
+            if is_legal(w) or w in _TAILS:
+                continue
+            k = self.find(w)
+            self._add(k or _stem(w), w)
+        self.acronyms: dict[str, str] = {}
+        for words in phrases:
+            kinds = {k for k in (self.find(w) for w in words if w not in _JOINING) if k}
+            for letters in ("".join(w[0] for w in words if w not in _JOINING), "".join(w[0] for w in words if w != "and"), "".join(w[0] for w in words)):
+                if 2 <= len(letters) <= 6 and len(kinds) > 1:
+                    self.acronyms.setdefault(letters, " ".join(sorted(kinds)))
+        self._seen: dict[str, str | None] = {}
+        self._index: dict[str, list[str]] | None = None
+        self._initial: dict[str, list[str]] = {}
+
+    def _add(self, kind: str, written: str) -> None:
+        self.exact.setdefault(written, kind)
+        self.exact.setdefault(kind, kind)
+        self.full += [w for w in dict.fromkeys((kind, written)) if w not in self.full and len(w) >= 4]
+        self._seen, self._index = {}, None
+
+    def find(self, t: str) -> str | None:
+        """The kind that t is, misspells or shortens."""
+        if t in self.exact:
+            return self.exact[t]
+        if len(t) < 3:
+            return None
+        if t not in self._seen:
+            if len(self._seen) > 1 << 18:
+                self._seen = {}
+            self._seen[t] = self._near(t)
+        return self._seen[t]
+
+    def _near(self, t: str) -> str | None:
+        stem = _stem(t)
+        if stem in self.exact:
+            return self.exact[stem]
+        if self._index is None:
+            self._index, self._initial = {}, {}
+            for w in dict.fromkeys((*self.full, *self.exact)):
+                if len(w) >= 5:
+                    for v in deletions(w, self._bound(w)):
+                        self._index.setdefault(v, []).append(w)
+                    if w in self.full:
+                        self._initial.setdefault(w[0], []).append(w)
+        if len(t) >= 4:
+            found = {w for v in deletions(stem, 2) for w in self._index.get(v, ())}
+            close = [(w not in self.full, d, k, w) for k, w in enumerate(self.exact) if w in found and (d := distance(stem, w, self._bound(w))) <= self._bound(w)]
+            if close and not min(close)[0]:
+                return self.exact[min(close)[3]]
+        for w in self._initial.get(t[0], ()):
+            if shortens(t, w, 4) or len(t) == 3 and (w.startswith(t) or not _VOWELS & set(t[1:]) and shortens(t, w)):
+                return self.exact[w]
+        return self.exact[min(close)[3]] if len(t) >= 4 and close else None  # a misspelt shortening
+
+    def _bound(self, w: str) -> int:
+        return 2 if len(w) >= 7 and w in self.full else 1
 
 
 @lru_cache(1 << 16)
-def _word(t: str, table_name: str) -> str | None:
-    """The word of the table that t is, misspells or shortens."""
-    table, full = {"line": (_LINES, LINES), "legal": (_LEGAL, LEGAL), "concept": (_CONCEPTS, CONCEPTS)}[table_name]
-    if t in table:
-        return table[t]
-    if len(t) < 4:
-        return None
-    best = None
-    for w in full:
-        bound = 2 if len(w) >= 7 else 1
-        d = distance(t, w, bound) if len(w) >= 5 else 9
-        if d <= bound and (best is None or d < best[0]):
-            best = (d, w)
-    if best:
-        return best[1]
-    if table_name != "legal":
-        for w in full:
-            if len(w) >= 5 and shortens(t, w, 4):
-                return w
-        for w, k in table.items():  # a misspelt shortening
-            if len(w) >= 5 and w not in full and distance(t, w, 1) <= 1:
-                return k
-    return None
+def is_legal(t: str) -> str | None:
+    """The legal form that t is or misspells."""
+    if t in _LEGAL or len(t) < 6:
+        return _LEGAL.get(t)
+    return next((w for w in LEGAL if len(w) >= 7 and distance(t, w, 1) <= 1), None)
 
 
 @dataclass(frozen=True)
@@ -160,9 +227,22 @@ class Name:
     legal: str = ""
 
 
+_LETTERS = re.compile(r"\b(?:\w[. ]+){1,3}\w\b\.?")
+_INNER = re.compile(r"([^\W\d_A-Z]{3,})(?=[A-Z][^\W\d_A-Z]{3,})")
+_PLACE = re.compile(r"(?<=[\w)])[^\w()]*\([^()]{2,}\)")
+_APOSTROPHE = re.compile(r"(?<=\w)['’`](?=\w)")
+_P = re.compile(r"\(\s*p\s*\)")
+_WORDS = re.compile(r"[^\W_]+")
+
+
 def _spelt_out(s: str) -> str:
-    """Letters with points or blanks between them as one word: l.l.p., g m b h."""
-    return re.sub(r"\b(?:\w[. ]+){1,3}\w\b\.?", lambda m: re.sub(r"\W", "", m.group()) if re.sub(r"\W", "", m.group()) in ("llp", "gmbh", "it", "ims", "cas", "som", "coe") else m.group(), s)
+    """Letters with points or blanks between them as one word: l.l.p., g m b h, s.o.m."""
+
+    def join(m: re.Match) -> str:
+        letters = re.sub(r"\W", "", m.group())
+        return letters if letters in _SPELT or re.fullmatch(r"(?:\w\.\s*)+\w\.?", m.group()) else m.group()
+
+    return _LETTERS.sub(join, s) if "." in s or " " in s else s
 
 
 def _apart(text: str) -> str:
@@ -170,64 +250,74 @@ def _apart(text: str) -> str:
     letters = [c for c in text if c.isalpha()]
     if letters and letters[0].islower() and sum(c.isupper() for c in letters) * 2 > len(letters):
         text = text.swapcase()
-    return re.sub(r"([^\W\d_A-Z]{3,})(?=[A-Z][^\W\d_A-Z]{3,})", r"\1 ", unicodedata.normalize("NFC", text))
+    return _INNER.sub(r"\1 ", text if text.isascii() else unicodedata.normalize("NFC", text))
 
 
-def parse_name(text: str, institution: bool = False) -> Name | None:
-    """Parts of a typed name; None if it stands for nothing. Added places are left out."""
+def split_name(text: str) -> list[list[str]] | None:
+    """The words of a typed name in the pieces that commas make; None if it stands for nothing. A place in brackets is left out."""
     if stands_for_nothing(text):
         return None
-    s = _spelt_out(re.sub(r"(?<=\w)['’`](?=\w)", "", plain(_apart(text))))
-    s = re.sub(r"\s*\([^()]{2,}\)\W*$", "", s)
-    s = re.sub(r"\(\s*p\s*\)", " pvt ", s)
-    pieces = [p for p in s.split(",") if re.search(r"\w", p)] or [s]
-    parsed = [_parts(p, institution) for p in pieces]
+    s = _spelt_out(_APOSTROPHE.sub("", plain(_apart(text))))
+    if "(" in s:
+        s = _P.sub(" pvt ", _PLACE.sub("", s))
+    return [w for w in (_WORDS.findall(p) for p in s.split(",")) if w] or None
+
+
+def name_of(pieces: list[list[str]], kinds: Kinds) -> Name | None:
+    """Parts of a split name; added places are left out, all other words are kept."""
     # A piece after one that ends the name (with kind or legal form, or two family names) is a place.
     family: list[str] = []
-    kind = legal = ""
+    kind: set[str] = set()
+    legal: set[str] = set()
     done = False
-    for k, (f, kd, lg) in enumerate(parsed):
-        if done and f and not (kd or lg):
-            continue
-        if k and f and not kd and not lg and len(family) >= 2:
-            continue
-        if k and f and not kd and not lg and kind and family:
+    for k, piece in enumerate(pieces):
+        f, kd, lg = _parts(piece, kinds, bool(family))
+        if k and f and not (kd or lg) and (done or len(family) >= 2 or kind and family):
             continue
         family += f
-        kind, legal = kind or kd, legal or lg
+        kind |= kd if not kind else set()
+        legal |= lg
         done = bool(family) and bool(kind or legal) and len(f) > 0
-    if not family:
-        return None
-    return Name(tuple(family[:2]), kind, legal)
+    if "company" in legal and len(legal) > 1:
+        legal -= {"company"}
+    if not family:  # a name made of kinds alone
+        family, kind = sorted(kind), set()
+    return Name(tuple(family), " ".join(sorted(kind)), " ".join(sorted(legal))) if family else None
 
 
-def _parts(piece: str, institution: bool) -> tuple[list[str], str, str]:
-    words = re.findall(r"[^\W_]+", piece)
+def _parts(words: list[str], kinds: Kinds, named: bool) -> tuple[list[str], set[str], set[str]]:
     family: list[str] = []
-    legal: list[str] = []
-    concepts: list[str] = []
-    line = ""
-    for t in words:
-        if t in ("and", "of", "the", "fuer", "de"):
-            continue
-        if institution:
-            if t in _ACRONYMS:
-                concepts.append(_ACRONYMS[t])
-            elif c := _word(t, "concept"):
-                concepts.append(c)
-            else:
-                family.append(t)
-        elif l := _word(t, "legal"):
-            legal.append(l)
-        elif (c := _word(t, "line")) and not line:
-            line = c
-        elif t in _LINE_TAILS:
-            continue
+    kind: set[str] = set()
+    legal: set[str] = set()
+    words = [w for w in words if w not in _JOINING]
+    k = 0
+    while k < len(words):
+        t = words[k]
+        if (l := is_legal(t)) and (family or kind or named):
+            legal.add(l)
+        elif t in kinds.acronyms and (len(words) > 1 or not named):
+            kind |= set(kinds.acronyms[t].split())
+        elif k + 1 < len(words) and (c := kinds.exact.get(t + words[k + 1])):  # health care
+            kind.add(c)
+            k += 1
+        elif t in _TAILS and kind:
+            pass
+        elif c := kinds.find(t):
+            kind.add(c)
         else:
             family.append(t)
-    if institution:
-        kind = next((n for c, n in _INSTITUTION if c in concepts), next((c for c in concepts if " " in c), ""))
-        return family, kind, ""
-    if "company" in legal and len(legal) > 1:
-        legal = [x for x in legal if x != "company"]
-    return family, line, " ".join(sorted(set(legal)))
+        k += 1
+    return family, kind, legal
+
+
+@lru_cache
+def hinted(label: str) -> Kinds:
+    """The kinds of a label by the hints alone."""
+    phrases = ("college of arts and science", "institute of medical sciences", "school of management", "institute of technology", "college of engineering", "academy of design")
+    return Kinds(label, {}, tuple(tuple(p.split()) for p in phrases) if label == "institution" else ())
+
+
+def parse_name(text: str, institution: bool = False) -> Name | None:
+    """Parts of a typed name by the hints alone; None if it stands for nothing."""
+    pieces = split_name(text)
+    return name_of(pieces, hinted("institution" if institution else "company")) if pieces else None

@@ -190,12 +190,14 @@ def test_distances_against_brute_force():
 def test_names_in_parts():
     p = spelling.parse_name
     full = p("Bafenta & Dorvorgo Technologies Private Limited")
-    assert (full.family, full.kind, full.legal) == (("bafenta", "dorvorgo"), "technologies", "limited private")
+    assert (full.family, full.kind, full.legal) == (("bafenta", "dorvorgo"), "technology", "limited private")
     for t in ("bafenta and dorvorgo techs pvt. ltd.", "BAFENTA / DORVORGO TECHNOLOG. P. LTD., South Town", "Technologies, Bafenta Dorvorgo", "Dorvorgo, Bafenta - Tech", "Bafèñta + Dorvorgo Tech (Old Town)", "bAFENTA dORVORGO tECHNOLOGIES"):
         n = p(t)
-        assert sorted(n.family) == ["bafenta", "dorvorgo"] and n.kind == "technologies", t
-    assert p("Rompim Tolrir CAS", True).kind == p("Rompim Tolrir Coll. of Arts & Sci.", True).kind == "college of arts and science"
+        assert sorted(n.family) == ["bafenta", "dorvorgo"] and n.kind == "technology", t
+    assert p("Rompim Tolrir CAS", True).kind == p("Rompim Tolrir Coll. of Arts & Sci.", True).kind == p("College of Arts and Science, Rompim Tolrir", True).kind == "art college science"
     assert all(p(t) is None for t in ("", "  ", "n/a", "??", "see resume", "xxx", "-"))
+    assert p("International Business Machines Corp").family == ("international", "business", "machines")
+    assert p("Bafenta Dorvorgo Law School", True).family == ("bafenta", "dorvorgo", "law") and p("Bafenta & Dorvorgo Foods (Old Town) (North Side), Upper Vale").family == ("bafenta", "dorvorgo")
 
 
 def test_spellings_linked(spark):
@@ -220,19 +222,79 @@ def test_hot_family_names_are_split(spark, monkeypatch):
 
 
 def test_links_do_not_depend_on_where_shards_are_split(spark, monkeypatch):
-    texts = [
-        "Bafenta & Guptasharanya Foods", "Bafenta & Gup. Foods", "Bafenta & Guptxsharxnyx Foods", "Bafentaguptasharanya Foods", "Bafennta & Guptasharnya Foods",
-        *[f"Bafenta & {b} Foods" for b in ("Galbirdil", "Venmorkas", "Tirzonpes", "Lolsesges", "Harfenbok", "Mensosnon", "Yudsisrar", "Kospomil")], *[f"{b} & Guptasharanya Foods" for b in ("Welmorkin", "Zandolfer", "Pilgorsan", "Hentovrik", "Bresnalko", "Quorvimes")],
-    ]
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(["ba", "fen", "tir", "mor", "gal", "ven", "kos", "dil"]) for _ in range(3))
+    slip = lambda w: (lambda k: rng.choice([w[:k] + w[k + 1 :], w[:k] + "x" + w[k:], w[:k] + "q" + w[k + 1 :], w[:k] + w[k + 1 : k + 2] + w[k : k + 1] + w[k + 2 :]]))(rng.randrange(len(w)))
+    texts = []
+    for other in [word() for _ in range(30)]:
+        a, b = "guptasharan", other
+        for x, y in ((a, b), (b, a), (slip(a), b), (a, slip(slip(slip(b)))), (slip(a), slip(slip(b))), (a, b[:3] + "."), (a, slip(b[:4])), (slip(a), b[:4])):
+            texts.append(f"{x.title()} & {y.title()} Foods")
+        texts += [f"{(a + b).title()} Foods", f"{(b + slip(a)).title()} Foods", f"{(a[:5] + b[:5]).title()} Foods", f"{slip(b[:5] + a[:5]).title()} Foods", f"{a.title()} & {b.title()}", f"{a.title()} {b.title()} {word().title()} Foods"]
     rows = spark.createDataFrame([("company", i, t) for i, t in enumerate(texts)], "label string, id long, text string")
 
     def links():
-        return {(r.id_a, r.id_b) for r in names.find_spellings(rows).collect()}
+        parsed, nodes = names._nodes(rows)
+        named = {r.node: (r.family, r.kind) for r in nodes.collect()}
+        return {frozenset((named[r.a], named[r.b])) for r in names._links(names._divided(names._members(nodes)), {}).collect()}
 
+    monkeypatch.setattr(names, "HOT", 10**9)
     whole = links()
-    assert {(0, 1), (0, 2), (0, 3), (0, 4)} <= whole, whole
-    monkeypatch.setattr(names, "HOT", 5)
-    assert links() == whole
+    assert len(whole) > 300
+    for hot in (40, 3):
+        monkeypatch.setattr(names, "HOT", hot)
+        assert links() == whole, hot
+
+
+def test_links_against_all_pairs():
+    rng = random.Random(22)
+    families = [["".join(rng.choice("abc") for _ in range(rng.randrange(4, 9))), "".join(rng.choice("abc") for _ in range(rng.randrange(4, 9)))] for _ in range(120)]
+    shards = {}
+    for k, f in enumerate(families):
+        for key, role, t, o in names.memberships(f):
+            shards.setdefault(key, []).append((role, k, t, o, "food", 0))
+    toks = sorted({t for f in families for t in f})
+    for t in toks:  # every neighbour's members, as the routes bring them
+        for u in toks:
+            if t < u and (len(t) > 4 or len(u) > 4) and spelling.distance(t, u, 1) == 1:
+                shards["T" + t] += [m for m in shards["T" + u] if m[0] == "T" and m[2] == u]
+    found = set()
+    for key, ms in shards.items():
+        if key[0] == "T":
+            found |= {(a, b) for a, b, _ in names.links_of_shard(key, ms, {})}
+    for a in range(len(families)):
+        for b in range(a + 1, len(families)):
+            for f, g in ((families[a], families[b]), (families[a], families[b][::-1])):
+                d = [spelling.distance(x, y, 4) for x, y in zip(f, g, strict=True)]
+                close = min(d) == 0 or min(d) == 1 and any(spelling.distance(x, y, 1) == 1 and (len(x) > 4 or len(y) > 4) for x, y in zip(f, g, strict=True))
+                short = all(e <= max(names._allowed(len(x)), names._allowed(len(y))) for e, x, y in zip(d, f, g, strict=True))
+                if sum(d) <= names.BOUND and close and short and all(len(x) >= 7 for x in (*f, *g)):
+                    assert (a, b) in found, (f, g)
+
+
+def test_kinds_are_learned_from_the_table(spark):
+    rng = random.Random(23)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(4))
+    made = [(f"{word()} {word()}", k) for k in ("Breweries", "Shipyards", "Law Offices") for _ in range(80)]
+    texts = [f"{f} {k}" for f, k in made] + [f"{f.upper()} {k[:5]}." for f, k in made[:20]] + [f"{made[0][0]} Shipyards", f"{made[0][0]} Brewries"]
+    rows = spark.createDataFrame([("company", i, t) for i, t in enumerate(texts)], "label string, id long, text string")
+    kinds = names.learn_kinds(names._mapped(rows.select("label", "text"), "label string, text string, name string", names._split))["company"]
+    assert kinds.find("breweries") == kinds.find("brewries") == kinds.find("brewe") == "brewery" and kinds.find("shipyards") and kinds.find("law") and not kinds.find(made[0][0].split()[0])
+    got = {(r.id_a, r.id_b) for r in names.find_spellings(rows).collect()}
+    assert (0, 240) in got and (0, len(texts) - 1) in got and not any(len(texts) - 2 in p for p in got)
+
+
+def test_clusters(spark):
+    rows = spark.createDataFrame([("company", 5, "Bafenta & Dorvorgo Foods"), ("company", 3, "Bafenta & Dorvorgo Foods"), ("company", 9, "bafenta dorvorgo foods ltd"), ("company", 4, "Kesbahi Hesdilden Energy"), ("company", 8, None), ("institution", 1, "Bafenta Dorvorgo")], "label string, id long, text string")
+    assert sorted(tuple(r) for r in names.cluster_rows(rows).collect()) == [("company", 3, 3, 1), ("company", 4, 4, 0), ("company", 5, 3, 1), ("company", 9, 3, 2), ("institution", 1, 1, 0)]
+    assert names.cluster_rows(rows.limit(0)).count() == 0 and names.undecided(rows).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001)], "a long, b long")
+    assert {r.comp for r in names.components(edges).where("node < 1000").collect()} == {0}
 
 
 # Reference lists.
