@@ -23,25 +23,40 @@ def weighted_distance(a: str, b: str, bound: float) -> float:
         return 0.0
     if abs(len(a) - len(b)) > bound / 0.7:
         return bound + 1
+    band = int(bound / 0.7)
+    n, big = len(b), bound + 1
     before: list[float] = []
-    row = [0.7 * j for j in range(len(b) + 1)]
+    row = [0.7 * j for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        last, row2 = row, [0.9 * i]
-        for j, y in enumerate(b, 1):
-            if x == y:
-                c = last[j - 1]
-            else:
-                c = last[j - 1] + (0.75 if (x, y) in _NEAR or x in _VOWELS and y in _VOWELS else 1.0)
-                gone = last[j] + (0.7 if i > 1 and a[i - 2] == x else 0.9)
-                come = row2[j - 1] + (0.7 if j > 1 and b[j - 2] == y else 0.9)
-                c = min(c, gone, come)
-                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                    c = min(c, before[j - 2] + 0.8)
-            row2.append(c)
-        if min(row2) > bound and (not before or min(last) > bound):
-            return bound + 1
-        before, row = last, row2
-    return row[-1] if row[-1] <= bound else bound + 1
+        last, row = row, [big] * (n + 1)
+        least = big
+        if i <= band:
+            row[0] = least = 0.9 * i
+        before_x = a[i - 2] if i > 1 else ""
+        gone_cost = 0.7 if before_x == x else 0.9
+        vowel = x in _VOWELS
+        for j in range(max(1, i - band), min(n, i + band) + 1):
+            y = b[j - 1]
+            c = last[j - 1]
+            if x != y:
+                c += 0.75 if (x, y) in _NEAR or vowel and y in _VOWELS else 1.0
+                v = last[j] + gone_cost
+                if v < c:
+                    c = v
+                v = row[j - 1] + (0.7 if j > 1 and b[j - 2] == y else 0.9)
+                if v < c:
+                    c = v
+                if j > 1 and y == before_x and x == b[j - 2]:
+                    v = before[j - 2] + 0.8
+                    if v < c:
+                        c = v
+            row[j] = c
+            if c < least:
+                least = c
+        if least > bound and (not before or min(last) > bound):
+            return big
+        before = last
+    return row[-1] if row[-1] <= bound else big
 
 
 @lru_cache(1 << 18)
@@ -202,8 +217,9 @@ class Kinds:
             if close and not min(close)[0]:
                 return self.exact[min(close)[3]]
         for w in self._initial.get(t[0], ()):
-            if shortens(t, w, 4) or len(t) == 3 and (w.startswith(t) or not _VOWELS & set(t[1:]) and shortens(t, w)):
-                return self.exact[w]
+            for x in (t, stem):
+                if shortens(x, w, 4) or len(x) == 3 and (w.startswith(x) or not _VOWELS & set(x[1:]) and shortens(x, w)):
+                    return self.exact[w]
         return self.exact[min(close)[3]] if len(t) >= 4 and close else None  # a misspelt shortening
 
     def _bound(self, w: str) -> int:

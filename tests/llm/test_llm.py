@@ -310,16 +310,55 @@ def test_values_to_entries():
 
 def test_lookup_finds_all_a_scan_finds():
     rng = random.Random(8)
-    entries = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(6, 12)))) for i in range(60)]
+    entries = [(i, "".join(rng.choice("aabbccddeefgh") for _ in range(rng.randrange(6, 18)))) for i in range(60)]
     ix = canon.ListIndex("locations.city", [(r, t, 1) for r, t in entries])
-    for _ in range(300):
-        r, t = rng.choice(entries)
+
+    def edit(t):
         k = rng.randrange(len(t))
-        v = rng.choice([t[:k] + t[k + 1 :], t[:k] + rng.choice("xyz") + t[k + 1 :], t[:k] + rng.choice("xyz") + t[k:]])
+        return rng.choice([t[:k] + t[k + 1 :], t[:k] + rng.choice("xyz") + t[k + 1 :], t[:k] + t[k] + t[k:], t[:k] + t[k + 1 : k + 2] + t[k] + t[k + 2 :]])
+
+    hits = 0
+    for n in (1, 2, 3) * 150:
+        r, t = rng.choice(entries)
+        v = t
+        for _ in range(n):
+            v = edit(v)
         bound = canon._bound(len(v))
-        scan = {x for x, e in entries if spelling.weighted_distance(v, e, bound) <= min(bound, canon._bound(len(e)))}
-        assert scan == set(ix.near(v, bound)), v
-        assert r in scan
+        scan = {x for x, e in entries if spelling.weighted_distance(v, e, bound) <= min(bound, canon._bound(len(e))) and spelling.distance(v, e, 3) <= canon._edits(len(e))}
+        assert v in ix.forms or scan == set(ix.near(v, bound)), v
+        hits += r in scan
+    assert hits > 250
+    ix = canon.ListIndex("locations.city", [(1, "aabbccddefghijklm", 1)])
+    assert ix.near("abcddefghijklm", 2.5) == {1: pytest.approx(2.5)}  # three cheap edits in the beginning
+
+
+def test_words_are_found_as_by_a_scan_of_the_list():
+    rng = random.Random(18)
+    vocab = ["software", "hardware", "senior", "data", "engineer", "manager", "analyst", "reliability", "machine", "learning", "support", "sales", "human", "resources", "quality", "assurance"]
+    entries = list({" ".join(rng.sample(vocab, rng.randrange(2, 4))) for _ in range(80)})
+    ix = canon.ListIndex("experience.title", [(k, e, 1) for k, e in enumerate(entries)])
+    typed = ["sr", "softw", "sw", "engr", "enginer", "mgr", "anlyst", "ml", "hr", "qa", "remote", "ii", "data", "sales", "machne", "lrng", "rel", "suport", "7"]
+    for _ in range(300):
+        w = [rng.choice(typed + vocab) for _ in range(rng.randrange(1, 6))]
+        got = ix._aligned(w)
+        own = list(canon._joined_letters(tuple(w)))
+        for r, e in enumerate(entries):
+            fits = [f for k in range(len(own)) if (f := ix._fit(own, k, e.split())) and all(x in ix.remarks or x.isdigit() for x in own[:k] + own[f[1] :])]
+            assert (r in got) == bool(fits), (w, e)
+
+
+def test_many_ambiguous_words_are_not_cut():
+    ix = canon.ListIndex("experience.title", [(1, "Senior Software Engineer", 1), (2, "Data Engineer", 1)])
+    assert ix.find("sr jr sr jr jr sr sr jr sw engr") == 0 or ix.find("sr jr sr jr jr sr sr jr sw engr") == 1
+    assert ix.find("jr jr jr jr jr jr jr data engr remote part time") == 2
+
+
+def test_remarks_are_learned(spark):
+    refs = [(k, f"{a} {b}", 0) for k, (a, b) in enumerate([(x, y) for x in ("alpha", "gamma", "delta") for y in ("cook", "driver", "guard", "clerk")], 1)]
+    rows = spark.createDataFrame([("t", f"{e} nightshift") for _, e, _ in refs] + [("t", "alpha cook fond of fish")], "field string, value string")
+    learned = canon.learn_remarks(rows, {"t": refs})["t"]
+    assert "nightshift" in learned and "fish" not in learned
+    assert canon.ListIndex("t", refs, learned).find("delta clrk nightshift") == refs[-1][0]
 
 
 def test_long_lists_in_blocks(spark, monkeypatch):
