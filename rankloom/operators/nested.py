@@ -1,13 +1,15 @@
 """Nested records as related flat tables (problem 3).
 
-The schema is walked once (structs, arrays of structs or scalars, maps, to any depth); each
-nested place becomes a child table with the parent's surrogate key and the ordinal within it.
-Everything is Generate/Project on the JVM: no shuffle, no Python.
+The schema, merged over the deliveries where they differ (``union_merged``), is walked once: structs, arrays and maps, of
+anything and to any depth. Each nested place becomes a child table, made by exploding one level after the other, with the
+parent's surrogate key and the ordinal within it (``child_table``, ``flatten``; ``object_links`` has the links alone).
+Everything is Generate/Project on the JVM: no shuffle, no Python; a child's scan reads the columns of its place only.
 
 Defined results
 ---------------
 * a null struct, array, map or element gives no row; an object whose fields are all null is a row;
 * ordinals count from 1 within arrays, null elements included; 0 for structs and map entries;
+* an array or map that is itself an element of an array or the value of a map is a place called ``element`` below it;
 * surrogate keys are ``<row key>`` for the root and ``<parent>/<name>/<ordinal or map key>`` below,
   so equal input gives equal keys in any partitioning; rows of a repeated root key each appear;
 * a payload field named like one of the link columns gets the suffix ``_value``.
@@ -85,36 +87,40 @@ def places(schema: T.StructType, skip: tuple[str, ...] = ()) -> list[Place]:
     """All nested places, outer before inner."""
     out: list[Place] = []
 
-    def walk(fields: list[T.StructField], path: tuple[str, ...]) -> None:
-        for f in fields:
-            kind, here = f.dataType, (*path, f.name)
-            if not path and f.name in skip:
-                continue
-            if isinstance(kind, T.StructType):
-                out.append(Place(here, "struct", kind))
-                walk(kind.fields, here)
-            elif isinstance(kind, T.ArrayType):
-                out.append(Place(here, "array", kind.elementType))
-                if isinstance(kind.elementType, T.StructType):
-                    walk(kind.elementType.fields, here)
-            elif isinstance(kind, T.MapType):
-                out.append(Place(here, "map", kind.valueType))
-
-    walk(schema.fields, ())
+    def add(kind: T.DataType, here: tuple[str, ...]) -> None:
+        if isinstance(kind, T.StructType):
+            out.append(Place(here, "struct", kind))
+            within(kind, here)
+        elif isinstance(kind, T.ArrayType):
+            out.append(Place(here, "array", kind.elementType))
+            within(kind.elementType, here)
+        elif isinstance(kind, T.MapType):
+            out.append(Place(here, "map", kind.valueType))
+            within(kind.valueType, here)
+
+    def within(kind: T.DataType, path: tuple[str, ...]) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                if path or f.name not in skip:
+                    add(f.dataType, (*path, f.name))
+        else:
+            add(kind, (*path, "element"))
+
+    within(schema, ())
     return out
 
 
 def _payload(inner: T.DataType) -> list[Column]:
     if not isinstance(inner, T.StructType):
-        return [F.col("_it").alias("value")]
+        return [] if isinstance(inner, (T.ArrayType, T.MapType)) else [F.col("_it").alias("value")]
     flat = [f for f in inner.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
     return [F.col("_it")[f.name].alias(f.name + ("_value" if f.name in LINKS else "")) for f in flat]
 
 
-def _explode(df: DataFrame, name: str, form: str) -> DataFrame:
-    """From (root_key, self_key, _it) to the rows of the field ``name`` of ``_it``."""
+def _explode(df: DataFrame, name: str, form: str, field: bool) -> DataFrame:
+    """From (root_key, self_key, _it) to the rows of the field ``name`` of ``_it``, or of ``_it`` itself."""
     links = [F.col("root_key"), F.col("self_key").alias("parent_key")]
-    c = F.col("_it")[name]
+    c = F.col("_it")[name] if field else F.col("_it")
     if form == "struct":
         d = df.where(c.isNotNull()).select(*links, F.lit(0).cast("long").alias("pos"), F.lit("").alias("child_key"), c.alias("_it"))
     elif form == "array":
@@ -128,10 +134,13 @@ def _explode(df: DataFrame, name: str, form: str) -> DataFrame:
 def child_table(df: DataFrame, key: str, path: tuple[str, ...]) -> DataFrame:
     """The flat table of one nested place: link columns, then its scalar fields."""
     by_path = {p.path: p for p in places(df.schema)}
-    cur = df.select(F.col(key).alias("root_key"), F.col(key).cast("string").alias("self_key"), F.struct(F.col(path[0])).alias("_it"))
+    cur = df.select(F.col(key).alias("root_key"), F.col(key).cast("string").alias("self_key"), F.struct(F.col(f"`{path[0]}`")).alias("_it"))
+    inner: T.DataType = df.schema
     for k in range(len(path)):
-        cur = _explode(cur, path[k], by_path[path[: k + 1]].form)
-    return cur.select(*LINKS, *_payload(by_path[path].inner))
+        place = by_path[path[: k + 1]]
+        cur = _explode(cur, path[k], place.form, isinstance(inner, T.StructType))
+        inner = place.inner
+    return cur.select(*LINKS, *_payload(inner))
 
 
 def flatten(df: DataFrame, key: str) -> dict[str, DataFrame]:
@@ -141,29 +150,16 @@ def flatten(df: DataFrame, key: str) -> dict[str, DataFrame]:
     return out | {p.name: child_table(df, key, p.path) for p in places(df.schema, (key,))}
 
 
-def object_links(df: DataFrame, key: str, wanted: Iterable[tuple[str, ...]]) -> DataFrame:
-    """Key, child (last name of the path), pos and child_key of every object at the wanted places, in one pass.
-
-    The places of a row become one array that is exploded once, so the input is read once. A place below an
-    array takes the outermost ordinal.
-    """
-    by_path = {p.path: p for p in places(df.schema)}
-
-    def entry(child: str, pos: Column, k: Column) -> Column:
-        return F.struct(F.lit(child).alias("child"), pos.cast("long").alias("pos"), k.cast("string").alias("child_key"))
-
-    def links(c: Column, path: tuple[str, ...], depth: int, pos: Column) -> Column:
-        here, last = by_path[path[:depth]], depth == len(path)
-        none = F.array().cast("array<struct<child:string,pos:bigint,child_key:string>>")
-        if here.form == "struct":
-            inner = F.array(entry(path[-1], pos, F.lit(""))) if last else links(c[path[depth]], path, depth + 1, pos)
-            return F.when(c.isNotNull(), inner).otherwise(none)
-        if here.form == "map":
-            return F.coalesce(F.transform(F.map_keys(c), lambda k: entry(path[-1], pos, k)), none)
-        numbered = F.filter(F.transform(c, lambda x, i: F.struct((i + 1).alias("p"), x.alias("x"))), lambda s: s["x"].isNotNull())
-        if last:
-            return F.coalesce(F.transform(numbered, lambda s: entry(path[-1], s["p"], F.lit(""))), none)
-        return F.coalesce(F.flatten(F.transform(numbered, lambda s: links(s["x"][path[depth]], path, depth + 1, s["p"]))), none)
-
-    arrays = [links(F.col(p[0]), p, 1, F.lit(0)) for p in wanted]
-    return df.select(F.col(key), F.inline(F.concat(*arrays)))
+def object_links(df: DataFrame, key: str, wanted: Iterable[str] | None = None) -> DataFrame:
+    """The links of every object: key, child (last name of its path), place (whole path), pos, child_key, parent_key and
+    self_key, from the child tables of all places, or of those whose last name is wanted."""
+    names = None if wanted is None else set(wanted)
+    parts = []
+    for p in places(df.schema, (key,)):
+        if names is None or p.path[-1] in names:
+            links = child_table(df, key, p.path).select("root_key", "pos", "child_key", "parent_key", "self_key")
+            parts.append(links.select(F.col("root_key").alias(key), F.lit(p.path[-1]).alias("child"), F.lit(p.name).alias("place"), "pos", "child_key", "parent_key", "self_key"))
+    if not parts:
+        kind = df.schema[key].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"`{key}` {kind}, child string, place string, pos long, child_key string, parent_key string, self_key string")
+    return reduce(DataFrame.unionByName, parts)

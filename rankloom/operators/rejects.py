@@ -1,21 +1,26 @@
 """Delimited records that fail to parse (problem 1).
 
-Each arriving record is one string. On the workers, every Arrow batch is written as one
-delimited file per record kind, each record on one physical line behind its number, and read
-by DuckDB with reject tables. The line-level errors are joined back to the records by that
-number and consolidated, with exact checks on what did load, into one typed row per record.
-No shuffle: the operator is one narrow pass over the input.
+Each arriving record is one string. On the workers, the records of each kind in an Arrow batch are written as a
+delimited file, each on one physical line behind its number, and read by DuckDB with reject tables: the field with a
+largest value as INTEGER, all others as text. The line-level errors are joined to the records by that number. A record
+loads if the reader gave its fields, if these, written out again, are the record, and if the checked field is valid.
+What the reader rejects, or reads otherwise than it is written (it keeps a stray quote and skips blanks before an
+enclosing one), is read once more as text padded to its width, which tells broken quoting from a wrong number of
+fields or a bad value. Every field and every reason comes from what the reader returns. No shuffle: one narrow pass.
 
 Defined results
 ---------------
 * null, empty and white-space-only lines give no row, neither loaded nor rejected;
 * repeated and late records are each judged on their own;
 * a record of an unknown (or null) kind gives reason ``kind``;
-* line breaks and NUL inside a record are carried through DuckDB as private-use characters that
-  do not occur in the batch, and restored in the values;
-* a record beyond the reader's memory is split by the same grammar without it;
-* a record that DuckDB neither loads nor rejects (swallowed by a broken neighbour) is read again
-  in a file of its own, so the outcome of a record never depends on its neighbours.
+* line breaks and NUL inside a record are carried through DuckDB as private-use characters that do not occur in the
+  batch, and restored in the values; the null string is such a character too, so no value is taken for null;
+* a record with an odd number of quotes, and one swallowed by a broken neighbour, is read in a file of its own, so the
+  outcome of a record never depends on its neighbours;
+* a record beyond the reader (its memory, or more than WIDEST fields) is split by the same grammar without it.
+
+reader_error is the reader's error type; ``ROUND TRIP`` where it took a faulty record, ``PATTERN`` where only the form
+of a value is wrong.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A line in which each field is enclosed or free of double quotes.
-WELL_QUOTED = r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*'
+#: Fields beyond which a record isn't given to the reader.
+WIDEST = 4096
 _FIELD = re.compile(r',("(?:[^"]|"")*"|[^",]*)')
 
 
@@ -64,29 +69,35 @@ class _Reader:
 
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": folder})
         self.error = duckdb.Error
-        self.path = os.path.join(folder, "batch.csv")
-
-    def read(self, kind: Kind, lines: list[tuple[int, str]]) -> tuple[dict[int, tuple], dict[int, str]]:
-        """The fields of the records that load, and the reader's first error of those rejected, by number."""
-        with open(self.path, "w", encoding="utf-8", newline="") as f:
-            f.writelines(f"{i},{line}\n" for i, line in lines)
+        self.folder = folder
+
+    def read(self, columns: dict[str, str], files: list[list[tuple[int, str]]], padded: bool, null: str) -> tuple[dict[int, tuple], dict[int, str]] | None:
+        """Of the numbered records in each of the files: the values of those that load, and the first error of those
+        rejected; None if the reader fails, as on a record beyond its memory."""
+        paths = [os.path.join(self.folder, f"{k}.csv") for k in range(len(files))]
+        for path, lines in zip(paths, files, strict=True):
+            with open(path, "w", encoding="utf-8", newline="") as f:
+                f.writelines(f"{i},{line}\n" for i, line in lines)
         for t in ("reject_errors", "reject_scans"):
             self.con.execute(f"DROP TABLE IF EXISTS {t}")
-        widest = max(len(line.encode()) for _, line in lines) + 64
+        widest = max(len(line.encode()) for lines in files for _, line in lines) + 64
         try:
-            return self._read(kind, widest)
-        except self.error:  # such as a record beyond the reader's memory; the caller goes on record by record
-            return {}, {}
-
-    def _read(self, kind: Kind, widest: int) -> tuple[dict[int, tuple], dict[int, str]]:
-        columns = ", ".join(f"'{c}': 'VARCHAR'" for c in ("record_no", *(f"f{k}" for k in range(len(kind.fields)))))
+            return self._read(columns, paths, padded, null, widest)
+        except self.error:
+            return None
+        finally:
+            for path in paths:
+                os.remove(path)
+
+    def _read(self, columns: dict[str, str], paths: list[str], padded: bool, null: str, widest: int) -> tuple[dict[int, tuple], dict[int, str]]:
+        spec = ", ".join(f"'{c}': '{t}'" for c, t in {"record_no": "VARCHAR", **columns}.items())
         got = self.con.execute(
-            f"SELECT * FROM read_csv(?, auto_detect=false, header=false, delim=',', quote='\"', escape='\"', new_line='\\n', columns={{{columns}}}, "
-            f"strict_mode=true, null_padding=false, nullstr='{chr(0xF8FF)}', store_rejects=true, rejects_limit=0, parallel=false, max_line_size={max(widest, 2_000_000)}, buffer_size={max(2 * widest + 1024, 16_000_000)})",
-            [self.path],
+            f"SELECT * FROM read_csv(?, auto_detect=false, header=false, delim=',', quote='\"', escape='\"', new_line='\\n', columns={{{spec}}}, strict_mode=true, null_padding={str(padded).lower()}, "
+            f"nullstr='{null}', store_rejects=true, rejects_limit=0, parallel=false, max_line_size={max(widest, 2_000_000)}, buffer_size={max(2 * widest + 1024, 16_000_000 if len(paths) == 1 else 2_000_128)})",
+            [paths],
         ).fetchall()
         errors: dict[int, str] = {}
-        for text, kind_of in self.con.execute("SELECT csv_line, CAST(error_type AS VARCHAR) FROM reject_errors ORDER BY line, column_idx").fetchall():
+        for text, kind_of in self.con.execute("SELECT csv_line, CAST(error_type AS VARCHAR) FROM reject_errors ORDER BY file_id, line, column_idx").fetchall():
             number = (text or "").lstrip("\n").split(",", 1)[0]
             if number.isascii() and number.isdigit():
                 errors.setdefault(int(number), kind_of)
@@ -94,12 +105,71 @@ class _Reader:
         return {i: v for i, v in loaded.items() if i not in errors}, errors
 
 
+def written_as(line: str, values: tuple) -> int | None:
+    """The number of fields if the line is what the values look like, each enclosed or free of quotes; else None."""
+    at = 0
+    for k, v in enumerate(values):
+        if v is None:
+            return k if at == len(line) + 1 else None
+        v = str(v)
+        if line.startswith('"', at):
+            v = '"' + v.replace('"', '""') + '"'
+        elif '"' in v:
+            return None
+        if not line.startswith(v, at):
+            return None
+        at += len(v)
+        if at < len(line) and line[at] != "," or at > len(line):
+            return None
+        at += 1
+    return len(values) if at == len(line) + 1 else None
+
+
+def _split(line: str) -> tuple[str, ...] | None:
+    """The fields of a record beyond the reader; None if a quote stands where none may."""
+    parts = [m.group(1) for m in _FIELD.finditer("," + line)]
+    if sum(map(len, parts)) + len(parts) - 1 != len(line):
+        return None
+    return tuple(x[1:-1].replace('""', '"') if x[:1] == '"' else x for x in parts)
+
+
 def _spare(text: str, n: int) -> list[str]:
     """n private-use characters that text doesn't hold."""
     used = set(text)
     return [c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used][:n]
 
 
+def _as_text(reader: _Reader, lines: list[tuple[int, str]], null: str) -> tuple[dict[int, tuple | None], dict[int, str]]:
+    """The values of each record as text, as many as it has (None if its quoting is broken), and the reader's errors."""
+    values: dict[int, tuple | None] = {}
+    errors: dict[int, str] = {}
+    by_width: dict[int, list[tuple[int, str]]] = {}
+    for i, line in lines:
+        n = line.count(",") + 1
+        by_width.setdefault(next((w for w in (16, 128, WIDEST) if n <= w), 0), []).append((i, line))
+    for width, group in by_width.items():
+        if not width:
+            values |= {i: _split(line) for i, line in group}
+            continue
+        columns = {f"f{k}": "VARCHAR" for k in range(width)}
+        alone = [[x] for x in group if x[1].count('"') % 2]
+        together = [x for x in group if not x[1].count('"') % 2]
+        todo = [*([together] if together else []), *alone]
+        got = reader.read(columns, todo, True, null) or ({}, {})
+        rest = [[x] for x in together if x[0] not in got[0]]
+        for files in (rest[k : k + 500] for k in range(0, len(rest), 500)):
+            more = reader.read(columns, files, True, null) or ({}, {})
+            got = (got[0] | more[0], got[1] | more[1])
+        for i, line in group:
+            values[i] = got[0].get(i)
+            if i in got[1]:
+                errors[i] = got[1][i]
+            elif i not in got[0]:
+                one = reader.read(columns, [[(i, line)]], True, null)
+                values[i] = _split(line) if one is None else one[0].get(i)
+    return values, errors
+
+
 def judge(records: list[tuple[str | None, str | None]], kinds: tuple[Kind, ...], reader: _Reader) -> list[tuple | None]:
     """For each (kind, line): None for a blank one, else (reason, reader's error, fields)."""
     out: list[tuple | None] = [None] * len(records)
@@ -112,36 +182,40 @@ def judge(records: list[tuple[str | None, str | None]], kinds: tuple[Kind, ...],
             by_kind.setdefault(kind, []).append((i, line.rstrip("\r\n")))
         else:
             out[i] = ("kind", None, None)
-    well = re.compile(WELL_QUOTED)
     for name, lines in by_kind.items():
         kind = known[name]
         valid = re.compile(kind.pattern)
-        lf, cr, nul = _spare("".join(line for _, line in lines), 3)
+        lf, cr, nul, null = _spare("".join(line for _, line in lines), 4)
+        back = str.maketrans({lf: "\n", cr: "\r", nul: "\0"})
+        at, n = kind.fields.index(kind.checked), len(kind.fields)
         flat = [(i, line.replace("\n", lf).replace("\r", cr).replace("\0", nul)) for i, line in lines]
-        loaded, errors = reader.read(kind, flat)
+        columns = {f: "INTEGER" if f == kind.checked and kind.at_most is not None else "VARCHAR" for f in kind.fields}
+        even = [x for x in flat if not x[1].count('"') % 2]
+        loaded, errors = reader.read(columns, [even], False, null) or ({}, {}) if even else ({}, {})
+
+        def accept(i: int, values: tuple, error: str | None) -> tuple:
+            texts = [str(v).translate(back).strip() for v in values]
+            v = texts[at]
+            ok = valid.fullmatch(v) and (kind.at_most is None or len(v.lstrip("0")) <= len(str(kind.at_most)) and int(v) <= kind.at_most)
+            return (None, None, texts) if ok else (kind.reason, error or "PATTERN", texts)
+
+        unclear = []
         for i, line in flat:
-            if i not in loaded and i not in errors:
-                own, wrong = reader.read(kind, [(i, line)])
-                loaded |= own
-                errors |= wrong
-                if not own and not wrong and well.fullmatch(line):  # beyond the reader: split by the same grammar
-                    parts = [x[1:-1].replace('""', '"') if x[:1] == '"' else x for x in (m.group(1) for m in _FIELD.finditer("," + line))]
-                    if len(parts) == len(kind.fields):
-                        loaded[i] = tuple(parts)
-        back = str.maketrans({lf: "\n", cr: "\r", nul: "\0"})
-        at = kind.fields.index(kind.checked)
-        for i, line in lines:
-            error, fields = errors.get(i), loaded.get(i)
-            # DuckDB keeps a stray quote within an unenclosed field as text and skips spaces before an enclosing one.
-            if '"' in line and not well.fullmatch(line):
-                out[i] = ("quoting", error or "UNQUOTED VALUE", None)
-            elif fields is None:
-                out[i] = ("columns", error, None)
+            values = loaded.get(i)
+            if values is not None and None not in values and written_as(line, values) == n:
+                out[i] = accept(i, values, None)
+            else:
+                unclear.append((i, line))
+        texts, more = _as_text(reader, unclear, null)
+        for i, line in unclear:
+            error, values = errors.get(i) or more.get(i), texts[i]
+            width = None if values is None else written_as(line, values)
+            if width is None:
+                out[i] = ("quoting", error or "ROUND TRIP", None)
+            elif width != n:
+                out[i] = ("columns", error or ("TOO MANY COLUMNS" if width > n else "MISSING COLUMNS"), None)
             else:
-                values = [(v or "").translate(back).strip() for v in fields]
-                v = values[at]
-                ok = valid.fullmatch(v) and (kind.at_most is None or len(v.lstrip("0")) <= len(str(kind.at_most)) and int(v) <= kind.at_most)
-                out[i] = (None if ok else kind.reason, None, values)
+                out[i] = accept(i, values[:n], error)
     return out
 
 

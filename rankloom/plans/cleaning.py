@@ -35,17 +35,37 @@ def p1_reason_counts(spark, sf_dir):
     return p1_found(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("p1_loaded_manifests")
+def _loaded(kind: str, fields: dict[str, str]) -> str:
+    """SQL of the records of a kind that load, as typed columns."""
+    text = "CASE WHEN v[{k}][1] = '\"' THEN replace(v[{k}][2:-2], '\"\"', '\"') ELSE v[{k}] END"
+    trimmed = "nullif(regexp_replace(regexp_replace(" + text + ", '^{s}+', ''), '{s}+$', ''), '')"
+    cols = ", ".join((f"TRY_CAST({trimmed} AS {t})" if t != "VARCHAR" else trimmed).format(k=k, s=_SPACE) + f" AS {name}" for k, (name, t) in enumerate(fields.items(), 1))
+    return f"""
+WITH bad AS ({_P1}),
+     l AS (SELECT raw_id, regexp_replace(line, '[\r\n]+$', '') AS line FROM raw_records
+           WHERE kind = '{kind}' AND NOT regexp_full_match(line, '{_SPACE}*') AND raw_id NOT IN (SELECT raw_id FROM bad)),
+     f AS (SELECT raw_id, regexp_extract_all(',' || line, ',({_FIELD})', 1) AS v FROM l)
+SELECT raw_id, {cols} FROM f"""
+
+
+@query("p1_loaded_manifests", _loaded("manifest", {"source": "VARCHAR", "fingerprint": "VARCHAR", "record_count": "INTEGER", "format": "VARCHAR", "cached_at": "TIMESTAMP"}))
 def p1_loaded_manifests(spark, sf_dir):
     return rejects.loaded(rejects.parse_records(spread(table(spark, sf_dir, "raw_records"))), rejects.MANIFEST)
 
 
-@query("p1_loaded_candidates")
+@query("p1_loaded_candidates", _loaded("candidate", {"candidate_id": "VARCHAR", "anonymized_name": "VARCHAR", "headline": "VARCHAR", "location": "VARCHAR", "years_of_experience": "DOUBLE", "current_title": "VARCHAR", "signup_date": "DATE", "skills": "VARCHAR"}))
 def p1_loaded_candidates(spark, sf_dir):
     return rejects.loaded(rejects.parse_records(spread(table(spark, sf_dir, "raw_records"))), rejects.CANDIDATE)
 
 
-_P3_PLACES = (("profile",), ("career_history",), ("redrob_signals",), ("redrob_signals", "expected_salary_range_inr_lpa"), ("redrob_signals", "skill_assessment_scores"))
+@query("p1_reader_errors", f"""WITH found AS ({_P1}) SELECT count(*) AS rejected, count(*) AS explained FROM found""")
+def p1_reader_errors(spark, sf_dir):
+    """Every rejected record comes with the reader's finding."""
+    found = rejects.rejected(rejects.parse_records(spread(table(spark, sf_dir, "raw_records")))).where("reason <> 'kind'")
+    return found.agg(F.count("*").alias("rejected"), F.count("reader_error").alias("explained"))
+
+
+_P3_CHILDREN = ("profile", "career_history", "redrob_signals", "expected_salary_range_inr_lpa", "skill_assessment_scores")
 _P3 = """
 SELECT row_id, 'profile' AS child, 0::BIGINT AS pos, '' AS child_key FROM candidates WHERE profile IS NOT NULL
 UNION ALL SELECT row_id, 'redrob_signals', 0, '' FROM candidates WHERE redrob_signals IS NOT NULL
@@ -54,9 +74,39 @@ UNION ALL SELECT row_id, 'skill_assessment_scores', 0, k FROM (SELECT row_id, un
 UNION ALL SELECT row_id, 'career_history', p, '' FROM (SELECT row_id, unnest(career_history) AS j, unnest(range(1, len(career_history) + 1)) AS p FROM candidates) WHERE j IS NOT NULL"""
 
 
+def _candidates(spark, sf_dir):
+    """The delivered files under their merged schema."""
+    return spark.read.option("mergeSchema", "true").parquet(f"{sf_dir}/candidates.parquet")
+
+
 @query("p3_found", _P3)
 def p3_found(spark, sf_dir):
-    return nested.object_links(table(spark, sf_dir, "candidates"), "row_id", _P3_PLACES)
+    links = nested.object_links(_candidates(spark, sf_dir), "row_id", _P3_CHILDREN)
+    return links.select("row_id", "child", "pos", "child_key")
+
+
+@query("p3_children_of_parents", """
+SELECT row_id AS root_key, row_id || '/redrob_signals/0' AS self_key, redrob_signals.connection_count AS connection_count,
+       len(map_keys(redrob_signals.skill_assessment_scores))::BIGINT AS scores, round(list_sum(map_values(redrob_signals.skill_assessment_scores)), 4) AS total
+FROM candidates WHERE len(map_keys(redrob_signals.skill_assessment_scores)) > 0""")
+def p3_children_of_parents(spark, sf_dir):
+    """Children joined back to their parents by the surrogate keys."""
+    tables = nested.flatten(_candidates(spark, sf_dir), "row_id")
+    scores = tables["redrob_signals_skill_assessment_scores"].groupBy("root_key", "parent_key").agg(F.count("*").alias("scores"), F.round(F.sum("value"), 4).alias("total"))
+    parents = tables["redrob_signals"].select("root_key", "self_key", "connection_count")
+    return parents.join(scores.withColumnRenamed("parent_key", "self_key"), ["root_key", "self_key"])
+
+
+@query("p3_merged_deliveries", """
+SELECT row_id, candidate_id, profile.headline AS headline, CASE WHEN row_id % 2 = 0 THEN profile.years_of_experience END AS years,
+       CASE WHEN row_id % 2 = 1 THEN len(career_history) END::BIGINT AS jobs, row_id % 2 = 0 AS early FROM candidates""")
+def p3_merged_deliveries(spark, sf_dir):
+    """Deliveries of differing schema (fields missing, ids narrower) under the merged one."""
+    d = table(spark, sf_dir, "candidates")
+    early = d.where("row_id % 2 = 0").select(F.col("row_id").cast("int").alias("row_id"), "candidate_id", F.when(F.col("profile").isNotNull(), F.struct("profile.headline", "profile.years_of_experience")).alias("profile"), F.lit(True).alias("early"))
+    late = d.where("row_id % 2 = 1").select("row_id", "candidate_id", F.when(F.col("profile").isNotNull(), F.struct("profile.headline")).alias("profile"), F.transform("career_history", lambda j: F.struct(j["company"].alias("company"))).alias("career_history"))
+    m = nested.union_merged([early, late])
+    return m.select("row_id", "candidate_id", "profile.headline", F.col("profile.years_of_experience").alias("years"), F.when(F.col("career_history").isNotNull(), F.size("career_history").cast("long")).alias("jobs"), F.coalesce("early", F.lit(False)).alias("early"))
 
 
 @query("p3_career_history", """

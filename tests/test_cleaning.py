@@ -50,13 +50,56 @@ def test_records_empty_and_unknown_and_long(spark):
 def test_records_beyond_the_reader(spark, monkeypatch):
     import tempfile
 
+    wide = ",".join(["x"] * 5000)
     with tempfile.TemporaryDirectory() as folder:
         r = rejects._Reader(folder)
+        kinds = (rejects.CANDIDATE, rejects.MANIFEST)
+        assert [g[0] for g in rejects.judge([("candidate", wide), ("candidate", wide + 'x"'), ("candidate", OK)], kinds, r)] == ["columns", "quoting", None]
         monkeypatch.setattr(r, "_read", lambda *a: (_ for _ in ()).throw(r.error("no memory")))
-        got = rejects.judge([("candidate", OK), ("candidate", OK + ",x"), ("candidate", OK.replace("A B", 'x"')), ("candidate", None)], (rejects.CANDIDATE, rejects.MANIFEST), r)
+        got = rejects.judge([("candidate", OK), ("candidate", OK + ",x"), ("candidate", OK.replace("A B", 'x"')), ("candidate", None)], kinds, r)
     assert [g and g[0] for g in got] == [None, "columns", "quoting", None] and got[0][2][2] == "head, line"
 
 
+def test_reasons_come_from_the_reader(spark):
+    import tempfile
+
+    class Silent(rejects._Reader):
+        def read(self, *a):
+            return {}, {}
+
+    lines = [("candidate", OK), ("candidate", OK + ",x"), ("manifest", "s,f,x,csv,d"), ("manifest", "s,f,5,csv,d"), ("manifest", "s,f,+5,csv,d"), ("candidate", OK.replace("A B", 'x"'))]
+    kinds = (rejects.CANDIDATE, rejects.MANIFEST)
+    with tempfile.TemporaryDirectory() as folder:
+        assert {g[0] for g in rejects.judge(lines, kinds, Silent(folder))} == {"quoting"}  # nothing loads without it
+        got = rejects.judge(lines, kinds, rejects._Reader(folder))
+    assert [g[:2] for g in got] == [(None, None), ("columns", "TOO MANY COLUMNS"), ("record_count", "CAST"), (None, None), ("record_count", "PATTERN"), ("quoting", "ROUND TRIP")]
+
+
+def test_records_against_the_grammar():
+    import re
+    import tempfile
+
+    field = r'(?:"(?:[^"]|"")*"|[^",]*)'
+    well = re.compile(rf"(?s){field}(?:,{field})*")
+    rng = random.Random(4)
+    lines = ["".join(rng.choice(['"', '"', ",", "a", " ", "5", '""', "\n", "\uf8ff"]) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    lines += [",".join(rng.choice(['"a"', "b", '""', "", '"x,""y"', "7", " 7 ", '"a" ', '\'"\'']) for _ in range(5)) for _ in range(2000)]
+    with tempfile.TemporaryDirectory() as folder:
+        got = rejects.judge([("manifest", x) for x in lines], (rejects.MANIFEST,), rejects._Reader(folder))
+    for line, g in zip(lines, got, strict=True):
+        x = line.rstrip("\r\n")
+        if not line.strip():
+            assert g is None
+        elif not well.fullmatch(x):
+            assert g[0] == "quoting", x
+        else:
+            parts = [p[1:-1].replace('""', '"') if p[:1] == '"' else p for p in re.findall(rf"(?s),({field})", "," + x)]
+            v = parts[2].strip() if len(parts) == 5 else ""
+            assert g[0] == ("columns" if len(parts) != 5 else None if re.fullmatch("[0-9]+", v) else "record_count"), x
+            if g[0] is None:
+                assert g[2] == [p.strip() for p in parts]
+
+
 def test_records_typed(spark):
     d = spark.createDataFrame([(1, "candidate", OK, "b", "r", "f"), (1, "candidate", OK, "b", "r", "f")], LINES)
     rows = rejects.loaded(rejects.parse_records(d), rejects.CANDIDATE).collect()
@@ -80,9 +123,21 @@ def test_nested_tables_and_links(spark):
     assert inner == [(1, 1, "a", "1/a/0/inner/1"), (1, 3, "", "1/a/0/inner/3")]
     assert sorted((r.parent_key, r.child_key, r.value) for r in tables["a_inner_m"].collect())[0] == ("1/a/0/inner/1", "k", 1)
     assert [(r.pos, r.value) for r in tables["tags"].collect()] == [(1, "t")]
-    links = nested.object_links(d, "id", [("a",), ("a", "inner"), ("a", "inner", "m")])
-    assert sorted((r.id, r.child, r.pos, r.child_key) for r in links.collect()) == [(1, "a", 0, ""), (1, "a", 0, ""), (1, "inner", 1, ""), (1, "inner", 3, ""), (1, "m", 1, "k"), (1, "m", 1, "l"), (2, "a", 0, "")]
-    assert nested.object_links(d.limit(0), "id", [("a",)]).count() == 0
+    links = nested.object_links(d, "id", ["a", "inner", "m"])
+    assert sorted((r.id, r.child, r.pos, r.child_key) for r in links.collect()) == [(1, "a", 0, ""), (1, "a", 0, ""), (1, "inner", 1, ""), (1, "inner", 3, ""), (1, "m", 0, "k"), (1, "m", 0, "l"), (2, "a", 0, "")]
+    assert {r.parent_key for r in links.where("child = 'm'").collect()} == {"1/a/0/inner/1"}
+    assert nested.object_links(d.limit(0), "id").count() == 0 and nested.object_links(d.select("id"), "id").count() == 0
+
+
+def test_arrays_of_arrays_and_structs_in_maps(spark):
+    d = spark.createDataFrame([(1, [[1, 2], None, [3]], {"k": (7, [("x",), None]), "l": None}, [{"a": 1}])], "id long, grid array<array<int>>, by map<string,struct<n:int,deep:array<struct<v:string>>>>, maps array<map<string,int>>")
+    t = nested.flatten(d, "id")
+    assert set(t) == {"root", "grid", "grid_element", "by", "by_deep", "maps", "maps_element"}
+    assert sorted((r.parent_key, r.pos, r.value) for r in t["grid_element"].collect()) == [("1/grid/1", 1, 1), ("1/grid/1", 2, 2), ("1/grid/3", 1, 3)]
+    assert sorted((r.child_key, r.n) for r in t["by"].collect() if r.n) == [("k", 7)] and [(r.parent_key, r.pos, r.v) for r in t["by_deep"].collect()] == [("1/by/k", 1, "x")]
+    assert [(r.parent_key, r.child_key, r.value) for r in t["maps_element"].collect()] == [("1/maps/1", "a", 1)]
+    parents = {r.self_key for x in t.values() if "self_key" in x.columns for r in x.collect()} | {"1"}
+    assert all(r.parent_key in parents for x in t.values() if "parent_key" in x.columns for r in x.collect())
 
 
 def test_merged_schemas(spark):
