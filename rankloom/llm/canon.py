@@ -29,6 +29,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm.once import once
 from rankloom.llm.spelling import deletions, distance, parse_name, plain, shortens, stands_for_nothing, weighted_distance
 from rankloom.session import checkpoint, when_small
 
@@ -383,17 +384,6 @@ def _word_cost(x: str, y: str) -> float:
     return float(d) if d <= b and len(y) > 3 else 9.0
 
 
-_BUILT: dict[str, object] = {}
-
-
-def _once(token: str, build):
-    """What build gives, made once in a worker for the same token; an older one is let go."""
-    if token not in _BUILT:
-        _BUILT.clear()
-        _BUILT[token] = build()
-    return _BUILT[token]
-
-
 def learn_remarks(rows: DataFrame, lists: dict[str, list[tuple[int, str, int]]]) -> dict[str, frozenset[str]]:
     """Per list the words that stand beside many different entries in the values: bounded by the share they must have."""
     sent = rows.sparkSession.sparkContext.broadcast({f: {" ".join(re.findall(r"[^\W_]+", plain(t))): r for r, t, _ in e} for f, e in lists.items()})
@@ -466,7 +456,7 @@ def match_columns(tables: dict[str, DataFrame], refs: DataFrame, columns: tuple[
                 index = {f: ListIndex(f, e, remarks.get(f, REMARKS)) for f, e in lists.items()}
                 return lru_cache(1 << 18)(lambda f, v: index[f].match(v)[0])
 
-            match = _once(token, build)
+            match = once(token, build)
             for b in batches:
                 fields, values = b.column("field"), b.column("value")
                 got = [match(f, v) for f, v in zip(fields.to_pylist(), values.to_pylist(), strict=True)]

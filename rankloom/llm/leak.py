@@ -6,8 +6,11 @@ which is broadcast. Each document's stream is scanned once; because case, marks,
 spacing and hyphenation leave no trace in a stream, a passage matches however it was laid out.
 Hits of one item are chained in order; the words between two hits are compared with the item's,
 so that changed, missing and added words count as such. A document holds an item if a chain covers
-at least ``min_words`` words of it (or the whole item, if shorter) and enough of them agree.
-Offsets are mapped back to the original text. One narrow pass over the corpus, no shuffle.
+at least ``min_words`` words of it (or the whole item, if shorter) and enough of them agree. In a short
+passage, words that differ where the items themselves differ between the same neighbours don't count
+as changed: that is a turn of phrase filled otherwise. Every chain is measured.
+Offsets are mapped back to the original text. One narrow pass over the corpus, no shuffle; each worker
+builds the automaton once.
 
 Defined results: null and empty texts hold nothing; repeated documents each give their rows; an item
 that is null or without letters gives none; duplicate items each give rows.
@@ -15,6 +18,7 @@ that is null or without letters gives none; duplicate items each give rows.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.normal import offsets, stream, words
+from rankloom.llm.once import once
 
 #: Items beyond this many characters aren't broadcast; they are taken in blocks of this size instead.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -36,7 +41,9 @@ class Rule:
     min_words: int = 15
     #: (words covered, share of them that must agree), by rising words: the shorter a passage, the more alike it must be,
     #: since texts of the same kind share turns of phrase within a sentence.
-    agree: tuple[tuple[int, float], ...] = ((0, 0.92), (18, 0.87), (21, 0.8), (30, 0.75))
+    agree: tuple[tuple[int, float], ...] = ((0, 0.86), (21, 0.8), (30, 0.75))
+    #: Words covered below which added words count like changed ones and a passage may not differ where the items do.
+    slot_words: int = 21
     #: Item words that may be missed between two hits, and characters a missed or added word may take.
     gap_words: int = 6
     word_chars: int = 14
@@ -66,6 +73,13 @@ class Automaton:
                 s = "".join(w[j : j + n])
                 if len(s) >= rule.seed_chars or len(w) == n:
                     where[s].append((k, j))
+        fillers: dict[tuple[str, str], set[str]] = defaultdict(set)
+        for _, w in self.items:
+            for gap in (1, 2, 3):
+                for j in range(1, len(w) - gap):
+                    fillers[w[j - 1], w[j + gap]].add(" ".join(w[j : j + gap]))
+        #: Neighbours between which the items have different words.
+        self.open = {k for k, v in fillers.items() if len(v) > 1}
         self.auto = ahocorasick.Automaton()
         for s, at in where.items():
             self.auto.add_word(s, (len(s), at))
@@ -166,13 +180,22 @@ class Automaton:
             if f >= 0 and (len(w[k]) > 2 or f == e):
                 agree[k] = (f, f + len(w[k]))
         places = sorted(agree)
+        changed, filled = [0], [0]  # words changed, missed or added, and turns of phrase filled otherwise, before each place
+        for a, c in zip(places, places[1:], strict=False):
+            missed, added = c - a - 1, agree[c][0] - agree[a][1]
+            n = max(missed, -(-added // self.rule.word_chars))
+            changed.append(changed[-1] + n)
+            filled.append(filled[-1] + (n > 0 and (w[a], w[c]) in self.open))
         best = None
         for a in range(len(places)):
             for c in range(len(places) - 1, a, -1):
                 covered = places[c] - places[a] + 1
                 if covered < need or best and c - a + 1 <= best[1]:
                     break
-                if c - a + 1 >= self.rule.share(covered) * covered:
+                short = covered < self.rule.slot_words
+                if short and filled[c] > filled[a]:
+                    continue
+                if c - a + 1 >= self.rule.share(covered) * (c - a + 1 + changed[c] - changed[a] if short else covered):
                     best = (covered, c - a + 1, agree[places[a]][0], agree[places[c]][1])
                     break
         return best
@@ -191,10 +214,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         part = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n)
         sent = spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()])
 
-        def run(batches: Iterator, sent=sent) -> Iterator:
+        token = uuid.uuid4().hex
+
+        def run(batches: Iterator, sent=sent, token=token) -> Iterator:
             import pyarrow as pa
 
-            auto = Automaton(sent.value, rule)
+            auto = once(token, lambda: Automaton(sent.value, rule))
             names = ["id", "item", "covered", "agreeing", "begin", "end"]
             for b in batches:
                 ids, rows = [], []

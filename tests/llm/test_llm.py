@@ -98,7 +98,24 @@ def test_leaks_against_brute_force():
         at = rng.randrange(0, len(w) - n + 1)
         doc = " ".join(rng.choice(vocab) for _ in range(40)) + " . " + " ".join(w[at : at + n]) + " . " + " ".join(rng.choice(vocab) for _ in range(40))
         found = {x[0] for x in auto.find(doc)}
-        assert (i in found) == (n >= 15) or n in (13, 14), (n, found)
+        assert (i in found) == (n >= 15), (n, found)
+
+
+def test_changed_words_and_turns_of_phrase():
+    rng = random.Random(12)
+    word = lambda: "w" + "".join(rng.choice("bcdfghklm") for _ in range(5))
+    pattern = "a returning contractor has {} minutes to {} the {} then the {} before the audit ends".split()
+    fill = lambda: [word() if x == "{}" else x for x in pattern]
+    items = [(k, " ".join([*(word() for _ in range(20)), *fill(), *(word() for _ in range(20))])) for k in range(6)]
+    auto = leak.Automaton(items, leak.Rule())
+    assert not auto.find(" ".join(fill()))  # another filling of the same sentence
+    w = items[2][1].split()
+    for n in (15, 16, 17):
+        for at in range(0, 3):
+            part = w[at : at + n]
+            for k, m in ((5, 5), (5, 9)):  # one or two single words changed
+                part[k] = part[m] = word()
+            assert [x[0] for x in auto.find(" ".join(part))] == [2], (n, at)
 
 
 def test_no_passage_is_lost_behind_near_misses():
