@@ -1,16 +1,19 @@
 """Template residue, filler, error pages and demands for scripts in place of content (problem 8).
 
-Character n-gram models (interpolated, orders 0 to ``ORDER``, counts in hashed tables) are fitted
-for notices, filler and unfilled slots on the examples of ``residue_examples``, and for natural
-prose on a bounded sample of the corpus (``sample_docs``, the documents lowest by a hash of the
-text), without what the class models alone find likely, and again without what the models call residue.
-Every text is then scored whole: for each class, the log-likelihood ratio against prose is summed
-over the window that makes it largest (the maximal segment sum), which localises the residue. A
-document is excluded if windows above the threshold cover more than ``min_coverage`` of it.
-Scoring is one narrow, vectorised pass; the tables (about 30 MB) are broadcast.
+Character n-gram models (orders 0 to ``ORDER``, each smoothed with the next lower one) are made for notices, filler and
+unfilled slots from the grammars of ``residue_examples``, and for natural prose from every document of the corpus, whole.
+Only n-grams of the grammars can speak for a class, so these alone are counted, exactly, in tables whose size doesn't
+depend on the corpus. One pass counts the prose: from each text the windows that the class models alone find likely are
+left out, the tables of the partitions are added up in two levels, and what is left out but comes with the same words
+around it in a share of the distinct texts (``mentions``) is talked about rather than left over, and is added again. A second pass scores every text whole: for each class, the log-likelihood ratio against prose is summed over the
+window that makes it largest (the maximal segment sum), which localises the residue.
+
+A document is excluded by what its windows cover: a window above the threshold counts by itself, however little of the
+document it is, since a part suffices; a weaker one, from ``weak`` of the threshold on, counts if the characters that
+speak for its class are ``min_coverage`` of the text, as where a whole text is a short notice or filler.
 
 Text that only mentions such things stays: the prose model has seen its kind of sentence, so the
-ratio stays low, whatever words it holds.
+ratio stays low, whatever words it holds. Models are broadcast (about 40 MB, whatever the corpus) and can be saved (``save``, ``load``).
 
 Defined results: null and blank texts are no case; repeated texts are judged alike; long texts are
 scored in overlapping parts, none is cut off.
@@ -18,175 +21,190 @@ scored in overlapping parts, none is cut off.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.residue_examples import examples
+from rankloom.session import checkpoint
 
 ORDER = 6
 PART = 1 << 16
 OVERLAP = 1 << 10
-_MUL = 0x9E3779B97F4A7C15
-#: Bits of the hashed tables of the class models and of the prose model.
-SMALL, LARGE = 17, 21
+CLASSES = ("notice", "filler", "slot")
+#: Bits of the hashes by which the n-grams of the grammars are found.
+BITS = 22
+SINGLE = 1 << 12
+#: Groups in which the tables of the partitions are added up first.
+FIRST_LEVEL = 64
 #: Characters a slot may have after its first.
 SLOT_CHARS = 48
 _OPEN = "[{<$%#@|_&"
 _DELIMITER = np.zeros(256, bool)
 _DELIMITER[[ord(x) for x in _OPEN]] = True
+_WORD = re.compile(r"[^\W_]{2}")
 _ENCLOSES = re.compile(r"[\[\]{}<>$%#@|_]|&[lg]t;")
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Documents (and their greatest length) the prose model is fitted on.
-    sample_docs: int = 8000
-    sample_chars: int = 4000
-    #: Times the prose model is fitted, each time without the documents the models before call residue.
-    rounds: int = 2
     #: Log-likelihood ratio a window must reach, by class.
-    thresholds: tuple[tuple[str, float], ...] = (("notice", 13.0), ("filler", 20.0), ("slot", 6.6))
-    min_coverage: float = 0.0
+    thresholds: tuple[tuple[str, float], ...] = (("notice", 10.0), ("filler", 13.0), ("slot", 5.0))
+    #: Share of the threshold from which on a window counts if its class covers enough of the text, and that coverage.
+    weak: float = 0.6
+    min_coverage: float = 0.5
     #: Before there is a prose model: log-likelihood a character is compared with, and what windows must reach.
     first_rate: float = -1.6
-    first_thresholds: tuple[tuple[str, float], ...] = (("notice", 18.0), ("filler", 18.0), ("slot", 6.6))
-    #: Texts of the sample in which a suspect must have the same neighbourhood to count as talked about.
-    mentions: int = 6
+    first_thresholds: tuple[tuple[str, float], ...] = (("notice", 14.0), ("filler", 12.0), ("slot", 5.0))
+    #: Share of the distinct texts (and their least number) in which a window must have the same words around it to count
+    #: as talked about.
+    mentions: float = 0.00075
+    least_mentions: int = 3
+    #: The same for whole sentences: one in so many texts is a heading, part of what all documents are made of.
+    headings: float = 0.01
+    least_headings: int = 30
+    #: Weight of the next lower order, in characters.
+    smoothing_class: float = 1.0
+    smoothing_prose: float = 4.0
 
 
 def _codes(text: str):
     """Lower-case code points, digits as one, white space as a blank."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    c = np.where((c >= 48) & (c <= 57), np.uint64(48), c)
-    return np.where((c == 10) | (c == 13) | (c == 9) | (c == 160), np.uint64(32), c)
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer would shift all places
+        low = "".join(c.lower()[:1] for c in text)
+    c = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
+    c = np.where((c >= 48) & (c <= 57), np.uint32(48), c)
+    return np.where((c == 10) | (c == 13) | (c == 9) | (c == 160), np.uint32(32), c)
+
+
+def _hashes(c) -> Iterator[tuple]:
+    """For each order k: hashes of the k characters before each place, and of these with the place's own."""
+    h = np.zeros(len(c), np.uint32)
+    own = (c + np.uint32(1)) * np.uint32(0x85EBCA6B)
+    plain = c + np.uint32(7)
+    power = 1
+    for k in range(1, ORDER + 1):
+        power = power * 1000003 & 0xFFFFFFFF
+        h[k:] += plain[: max(len(c) - k, 0)] * np.uint32(power)
+        ctx = (h + np.uint32(k)) * np.uint32(0x9E3779B1)
+        ctx ^= ctx >> np.uint32(15)
+        joint = (ctx ^ own) * np.uint32(0xC2B2AE35)
+        joint ^= joint >> np.uint32(13)
+        yield ctx * np.uint32(0x27D4EB2F), joint * np.uint32(0x165667B1)
+
+
+class Grams:
+    """The n-grams of the class texts: their contexts, and these with their character, by the hash that finds them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        found = [(ctx, joint) for ctx, joint in _hashes(_codes("\n".join(["", *texts, ""])))]
+        self.keys, self.slots = zip(*[self._index(np.unique(np.concatenate([x[k] for x in found]))) for k in (0, 1)], strict=True)
 
+    @staticmethod
+    def _index(keys) -> tuple:
+        """Keys with one behind them that stands for any other, and the key of each slot; a slot keeps one key."""
+        slots = np.full(1 << BITS, len(keys), np.int32)
+        slots[keys >> np.uint32(32 - BITS)] = np.arange(len(keys))
+        return np.append(keys, np.uint32(0)), slots
+
+    def places(self, hashed: tuple) -> list:
+        """Of contexts and n-grams, the numbers of those known, and the number behind them for others."""
+        out = []
+        for keys, slots, h in zip(self.keys, self.slots, hashed, strict=True):
+            at = slots.take(h >> np.uint32(32 - BITS))
+            at[keys.take(at) != h] = len(keys) - 1
+            out.append(at)
+        return out
 
-class CharModel:
-    """Interpolated character n-gram model over hashed counts."""
 
-    def __init__(self, bits: int) -> None:
-        self.bits = bits
-        n = 1 << bits
-        self.joint = np.zeros(n, np.uint32)
-        self.context = np.zeros(n, np.uint32)
-        self.kinds = np.zeros(n, np.uint32)
-        self.single = np.zeros(1 << 12, np.float64)
-        self.total = 0
+class Counts:
+    """Counts of characters, contexts and n-grams; these can be added."""
 
-    @staticmethod
-    def hashes(c) -> Iterator[tuple]:
-        """For each order k: hashes of the k characters before each place, and of these with the place's own."""
-        h = np.zeros(len(c), np.uint64)
-        with np.errstate(over="ignore"):
-            power = np.uint64(1)
-            for k in range(1, ORDER + 1):
-                power = power * np.uint64(1000003)
-                h = h.copy()
-                h[k:] += (c[: max(len(c) - k, 0)] + np.uint64(7)) * power
-                ctx = (h + np.uint64(k)) * np.uint64(_MUL)
-                yield ctx, (ctx ^ (c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(_MUL)
-
-    def fit(self, texts: list[str], part: int = 1 << 20) -> CharModel:
+    def __init__(self, grams: Grams) -> None:
+        self.grams = grams
+        self.context, self.joint = (np.zeros(len(k), np.float64) for k in grams.keys)
+        self.single = np.zeros(SINGLE, np.float64)
+
+    def add(self, texts: list[str], times: int = 1, part: int = 1 << 20) -> Counts:
         """Adds the texts' counts, a bounded part at a time."""
         whole = _codes("\n".join(["", *texts, ""]))
-        shift = np.uint64(64 - self.bits)
-        n = 1 << self.bits
         for at in range(0, len(whole), part):
             c = whole[at : at + part]
-            self.single += np.bincount((c % np.uint64(1 << 12)).astype(np.int64), minlength=1 << 12)
-            self.total += len(c)
-            for ctx, joint in self.hashes(c):
-                a, b = (ctx >> shift).astype(np.int64), (joint >> shift).astype(np.int64)
-                new = np.flatnonzero(self.joint[b] == 0)
-                first = new[np.unique(b[new], return_index=True)[1]]
-                self.kinds += np.bincount(a[first], minlength=n).astype(np.uint32)
-                self.context += np.bincount(a, minlength=n).astype(np.uint32)
-                self.joint += np.bincount(b, minlength=n).astype(np.uint32)
+            self.single += times * np.bincount(c % SINGLE, minlength=SINGLE)
+            for hashed in _hashes(c):
+                for table, places in zip((self.context, self.joint), self.grams.places(hashed), strict=True):
+                    n = np.bincount(places)
+                    table[: len(n)] += times * n
+        self.context[-1] = self.joint[-1] = 0
         return self
 
-    def ready(self) -> CharModel:
-        """Keeps only what scoring reads: joint counts, and per context what they and the lower order are weighed with."""
-        n, t = self.context.astype(np.float32), self.kinds.astype(np.float32)
-        whole = np.maximum(n + t, 1)
-        self.own = np.where(n > 0, 1 / whole, 0).astype(np.float32)
-        self.lower = np.where(n > 0, t / whole, 1).astype(np.float32)
-        self.counts = self.joint.astype(np.float32)
-        self.base = ((self.single + 0.05) / (self.total + 200)).astype(np.float32)
-        self.joint = self.context = self.kinds = self.single = None
-        return self
 
-    def log_likelihood(self, c, places: list[tuple]):
-        """Natural log of each character's probability, and whether the four characters up to it were seen."""
-        p = self.base[(c % np.uint64(1 << 12)).astype(np.int64)]
+class Bank:
+    """Models side by side: a place of a table is read once for all of them."""
+
+    def __init__(self, counts: list[Counts], smoothing: float) -> None:
+        self.smoothing = np.float32(smoothing)
+        side = lambda arrays: np.ascontiguousarray(np.stack(arrays, 1).astype(np.float32))
+        self.joint, self.context = side([x.joint for x in counts]), side([x.context for x in counts])
+        self.base = side([(x.single + 0.05) / (x.single.sum() + 200) for x in counts])
+
+    def log_likelihood(self, c, places: list[list], known: bool):
+        """Natural log of each character's probability, and whether the four characters up to it were seen; by model.
+
+        known: whether these models have counted all n-grams they hold, so that any other is none of theirs.
+        """
+        s = self.smoothing
+        p = self.base.take(c % SINGLE, 0)
         low = seen = None
-        for k, (a, b) in enumerate(places, 1):
-            j = self.counts.take(b)
-            p = j * self.own.take(a) + self.lower.take(a) * p
+        for k, (ctx, joint) in enumerate(places, 1):
+            j, x = self.joint.take(joint, 0), self.context.take(ctx, 0)
+            if not known:
+                x[joint == len(self.joint) - 1] = 0
+            p *= s
+            p += j
+            x += s
+            p /= x
             if k == 2:
-                low = p
+                low = p.copy()
             if k == 3:
                 seen = j > 0
         # A small share of a low order keeps one odd character in a known context from counting for very much.
-        return np.log(np.float32(0.97) * p + np.float32(0.03) * low + np.float32(1e-9)).astype(np.float64), seen
+        p *= np.float32(0.97)
+        p += np.float32(0.03) * low
+        p += np.float32(1e-9)
+        return np.log(p, out=p), seen
 
 
 class Models:
-    def __init__(self, prose_texts: list[str], s: Settings) -> None:
-        self.s = s
-        self.classes = {k: CharModel(SMALL).fit([x + " " for x in v]).ready() for k, v in examples().items()}
-        self.prose: CharModel | None = None
-        kept = texts = self._without_examples(prose_texts)
-        for _ in range(s.rounds):
-            self.prose = CharModel(LARGE).fit(kept).ready()
-            clean = [t for t, bad in zip(texts, self.suspects_of(texts), strict=True) if not bad]
-            if len(clean) == len(kept) or not clean:
-                break
-            kept = clean
-        self.prose = CharModel(LARGE).fit(kept).ready()
-
-    def _without_examples(self, texts: list[str]) -> list[str]:
-        """The sample without what the class models alone find likely, so that prose isn't fitted on residue.
-
-        What is part of a sentence that comes again in ``mentions`` texts, with the same words around it, is talked
-        about rather than left over, and stays.
-        """
-        flagged = [t for t, bad in zip(texts, self.suspects_of(texts), strict=True) if bad]
-        found = {t: self.windows(t) for t in flagged}
+    """The class models, and the prose model once there is one."""
 
-        def around(t: str, w: tuple) -> str | None:
-            left, right = t[max(0, w[1] - 10) : w[1]], t[w[2] : w[2] + 10]
-            inside = left.rstrip()[-1:].isalnum() or right.lstrip()[:1].isalnum() and t[w[2] - 1] not in ".!?\n"
-            return re.sub(r"[0-9]+", "0", (left + t[w[1] : w[2]] + right).lower()) if inside else None
+    def __init__(self, s: Settings) -> None:
+        self.s = s
+        made = examples()
+        self.grams = Grams([x + " " for k in CLASSES for x in made[k]])
+        self.classes = Bank([Counts(self.grams).add([x + " " for x in made[k]]) for k in CLASSES], s.smoothing_class)
+        self.prose: Bank | None = None
 
-        seen = Counter(a for t, ws in found.items() for a in {around(t, w) for w in ws})
-        out = []
-        for t in texts:
-            at = 0
-            for w in sorted(found.get(t, ()), key=lambda w: w[1]):
-                key = around(t, w)
-                if key is None or seen[key] < self.s.mentions:
-                    out.append(t[at : w[1]])
-                    at = max(at, w[2])
-            out.append(t[at:])
-        return [t for t in out if t.strip()]
+    def with_prose(self, counts: Counts) -> Models:
+        self.prose = Bank([counts], self.s.smoothing_prose)
+        return self
 
     def ratios(self, c):
         """Per class: log-likelihood ratio of each character against prose; without a prose model, against a fixed rate."""
-        hashed = list(CharModel.hashes(c))
-        at = lambda bits: [tuple((h >> np.uint64(64 - bits)).astype(np.int64) for h in pair) for pair in hashed]
-        base = self.prose.log_likelihood(c, at(LARGE))[0] if self.prose else self.s.first_rate
-        small = at(SMALL)
-        out = {}
-        for k, m in self.classes.items():
-            own, seen = m.log_likelihood(c, small)
-            # What a class hasn't seen speaks against it, however odd it is for prose; no character decides alone.
-            out[k] = np.where(seen, np.clip(own - base, -8.0, 3.0), np.minimum(own - base, -1.0).clip(-8.0))
+        places = [self.grams.places(h) for h in _hashes(c)]
+        base = self.prose.log_likelihood(c, places, False)[0] if self.prose else np.float32(self.s.first_rate)
+        own, seen = self.classes.log_likelihood(c, places, True)
+        own -= base
+        # What a class hasn't seen speaks against it, however odd it is for prose; no character decides alone.
+        np.copyto(own, np.minimum(own, np.float32(-1.0)), where=~seen)
+        np.clip(own, -8.0, 3.0, out=own)
+        out = dict(zip(CLASSES, own.T.astype(np.float64), strict=True))
         if len(c):  # a slot begins with what encloses slots
             at = np.arange(len(c))
             opened = np.maximum.accumulate(np.where(_DELIMITER[np.minimum(c, 255)], at, -(1 << 40)))
@@ -197,46 +215,52 @@ class Models:
         return dict(self.s.thresholds if self.prose else self.s.first_thresholds)[k]
 
     def windows(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(class, begin, end, ratio) of the windows above the threshold; that of a slot begins with or holds what encloses it."""
+        """(class, begin, end, ratio) of the windows that count; that of a slot begins with or holds what encloses it."""
         out = []
         for at in range(0, max(len(text) - OVERLAP, 1), PART - OVERLAP):
             part = text[at : at + PART]
             for k, r in self.ratios(_codes(part)).items():
-                for b, e, x in _segments(r, self.need(k)):
-                    w = (k, at + b, at + e, x)
-                    if w not in out and (k != "slot" or _ENCLOSES.search(part, max(0, b - 12), e + 4)):
+                whole = self.prose and at == 0 and len(text) <= PART and np.count_nonzero(r > 0) >= self.s.min_coverage * len(part.strip())
+                need = self.need(k) * (self.s.weak if whole else 1)
+                total = np.concatenate([[0.0], np.cumsum(r)])
+                if (total - np.minimum.accumulate(total)).max() < need:
+                    continue
+                for b, e, x in _segments(r, need):
+                    w = (k, at + b, min(at + e, len(text)), x)
+                    if w not in out and (k != "slot" or _ENCLOSES.search(part, max(0, b - 12), e + 4) and _WORD.search(part, b, e + 8)):
                         out.append(w)
         return out
 
-    def suspects_of(self, texts: list[str]) -> list[bool]:
-        """Whether each text has a window above a threshold, for any number of texts."""
-        out: list[bool] = []
-        block: list[str] = []
-        size = 0
-        for t in texts:
-            if block and size + len(t) > PART:
-                out += self.suspects(block)
-                block, size = [], 0
-            block.append(t)
-            size += len(t) + 1
-        out += self.suspects(block) if block else []
-        return [s and bool(self.windows(t)) for t, s in zip(texts, out, strict=True)]
+    def judge(self, text: str) -> tuple[float, list[tuple[str, int, int, float]]] | None:
+        """(coverage, windows) of a text to exclude, else None."""
+        found = self.windows(text)
+        return (min(1.0, _covered(found) / len(text.strip())), found) if found else None
 
     def suspects(self, texts: list[str]) -> list[bool]:
         """Whether each text may have a window above a threshold; texts together stay below a part's size."""
         joined = "\n".join(texts)
-        if len(joined.lower()) != len(joined):  # a letter whose lower case is longer would shift the borders
-            return [bool(self.windows(t)) for t in texts]
         starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        sizes = np.array([len(t.strip()) for t in texts])
         out = np.zeros(len(texts), bool)
         for k, r in self.ratios(_codes(joined + "\n")).items():
             r[starts[1:] - 1] = -1e6  # nothing reaches over a border
             s = np.cumsum(r)
             low = np.minimum.accumulate(np.concatenate([[0.0], s[:-1]]))
-            out |= np.maximum.reduceat(s - low, starts) >= self.need(k)
+            top = np.maximum.reduceat(s - low, starts)
+            out |= top >= self.need(k)
+            if self.prose:
+                out |= (top >= self.s.weak * self.need(k)) & (np.add.reduceat(r > 0, starts) >= self.s.min_coverage * sizes)
         return out.tolist()
 
 
+def _covered(windows: list[tuple]) -> int:
+    covered, last = 0, 0
+    for _, b, e, _ in sorted(windows, key=lambda x: x[1]):
+        covered += max(0, e - max(b, last))
+        last = max(last, e)
+    return covered
+
+
 def _segments(r, need: float) -> list[tuple[int, int, float]]:
     """Segments whose sum reaches need: from where a running sum last was zero to its highest point, then onwards."""
     out = []
@@ -254,49 +278,127 @@ def _segments(r, need: float) -> list[tuple[int, int, float]]:
     return out
 
 
+def _blocks(pairs: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """(key, text) pairs in blocks whose texts together stay below a part's size, if they are more than one."""
+    block, size = [], 0
+    for i, t in pairs:
+        if block and size + len(t) > PART - 1:
+            yield block
+            block, size = [], 0
+        block.append((i, t))
+        size += len(t) + 1
+    if block:
+        yield block
+
+
+def _suspects(m: Models, block: list[tuple]) -> list[bool]:
+    return m.suspects([t for _, t in block]) if len(block) > 1 or len(block[0][1]) < PART else [True] * len(block)
+
+
+_END = re.compile(r"[.!?](?=\s|$)|\n")
+
+
+def _around(t: str, w: tuple) -> tuple[str, bool]:
+    """A window with its neighbours; if it is the greater part of a sentence, the sentence, and True."""
+    begin = max([m.end() for m in _END.finditer(t, max(0, w[1] - 400), w[1])], default=max(0, w[1] - 400))
+    end = m.start() if (m := _END.search(t, max(w[1], w[2] - 1), w[2] + 400)) else min(len(t), w[2] + 400)
+    whole = (w[2] - w[1]) * 2 >= len(t[begin:end].strip())
+    return re.sub(r"[0-9]+", "0", (t[begin:end].strip() if whole else t[max(begin, w[1] - 6) : min(w[2] + 6, end)]).lower()), whole
+
+
 def fit(docs: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> Models:  # noqa: B008
-    """Fits the models; the prose sample is bounded by ``sample_docs`` and ``sample_chars``."""
+    """Fits the models; the prose is counted over every document in one pass, on the workers."""
+    models = Models(settings)
+    first = docs.sparkSession.sparkContext.broadcast(models)
+    shape = "salt long, tables binary, mention string, text long"
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        m = first.value
+        counts = Counts(m.grams)
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64())
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=[x.split(" ")[0] for x in shape.split(", ")])
+
+        salt = 0
+        for b in batches:
+            mentions: list[tuple] = []
+            for block in _blocks((None, t) for t in b.column(0).to_pylist()):
+                kept = []
+                for (_, t), suspect in zip(block, _suspects(m, block), strict=True):
+                    at = 0
+                    if suspect:
+                        digest = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                        salt = salt or digest % FIRST_LEVEL
+                        for w in sorted(m.windows(t), key=lambda w: w[1]):
+                            kept.append(t[at : w[1]])
+                            at = max(at, w[2])
+                            key, whole = _around(t, w)
+                            mentions.append((1 if whole else 0, None, key, digest))
+                    kept.append(t[at:])
+                counts.add([x for x in kept if x.strip()])
+            yield rows(mentions)
+        yield rows([(salt, np.concatenate([counts.single, counts.context, counts.joint]).astype(np.float32).tobytes(), None, None)])
+
+    def total(t):
+        import pyarrow as pa
+
+        out = 0.0
+        for v in t.column("tables"):
+            out = out + np.frombuffer(v.as_py(), np.float32).astype(np.float64)
+        return pa.table({"whole": pa.array([0], pa.int64()), "tables": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+
     t = docs.select(F.col(text_col).alias("t")).where(F.length(F.trim("t")) > 0)
-    s = t.where(F.length("t") <= settings.sample_chars).select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(settings.sample_docs)
-    return Models([r.t for r in s.collect()], settings)
+    counted = checkpoint(t.mapInArrow(count, shape))
+    sums = counted.where("tables IS NOT NULL").groupBy("salt").applyInArrow(total, "whole long, tables binary").groupBy("whole").applyInArrow(total, "whole long, tables binary")
+    prose = Counts(models.grams)
+    for r in sums.collect():  # one table of a fixed size
+        whole = np.frombuffer(r.tables, np.float32).astype(np.float64)
+        prose.single, prose.context, prose.joint = np.split(whole, [SINGLE, SINGLE + len(prose.context)])
+    # What is talked about: bounded, as each such text holds a few windows and each must be in a share of the texts.
+    texts = t.agg(F.approx_count_distinct(F.xxhash64("t"))).first()[0]
+    least = F.when(F.col("salt") == 0, max(settings.least_mentions, settings.mentions * texts)).otherwise(max(settings.least_headings, settings.headings * texts))
+    said = counted.where("mention IS NOT NULL").groupBy("salt", "mention").agg(F.countDistinct("text").alias("n")).where(F.col("n") >= least)
+    for r in said.orderBy("salt", "mention").collect():
+        prose.add([r.mention], r.n)
+    return models.with_prose(prose)
+
+
+def save(models: Models, spark: SparkSession, path: str) -> None:
+    """Writes the prose model as a table, on any file system; the class models are made of the grammars again."""
+    p = models.prose
+    rows = [(name, bytearray(getattr(p, name).tobytes())) for name in ("joint", "context", "base")]
+    spark.createDataFrame(rows, "name string, bytes binary").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, settings: Settings = Settings()) -> Models:  # noqa: B008
+    """The models that were saved, without another pass over a corpus."""
+    m = Models(settings)
+    m.with_prose(Counts(m.grams))
+    for r in spark.read.parquet(path).collect():
+        setattr(m.prose, r.name, np.frombuffer(bytes(r.bytes), np.float32).reshape(-1, 1))
+    return m
 
 
 def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", models: Models | None = None, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Documents to exclude: id, coverage (share of characters in residue), and the windows (class, begin, end, ratio)."""
     models = models or fit(docs, text_col, settings)
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    least = models.s.min_coverage
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         m = sent.value
         schema = pa.schema([("id", pa.int64()), ("coverage", pa.float64()), ("windows", pa.list_(pa.struct([("class", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("ratio", pa.float64())])))])
-
-        def judged(block: list[tuple[int, str]]) -> pa.RecordBatch:
-            rows = []
-            flags = m.suspects([t for _, t in block]) if len(block) > 1 or len(block[0][1]) < PART else [True]
-            for (i, t), suspect in zip(block, flags, strict=True):
-                w = m.windows(t) if suspect else []
-                covered, last = 0, 0
-                for _, b, e, _ in sorted(w, key=lambda x: x[1]):
-                    covered += max(0, e - max(b, last))
-                    last = max(last, e)
-                if w and covered / len(t) > least:
-                    rows.append((i, covered / len(t), [{"class": k, "begin": b, "end": e, "ratio": x} for k, b, e, x in w]))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(3)], schema=schema)
-
         for b in batches:
-            block, size = [], 0
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                text = t.as_py()
-                if block and size + len(text) > PART:
-                    yield judged(block)
-                    block, size = [], 0
-                block.append((i.as_py(), text))
-                size += len(text) + 1
-            if block:
-                yield judged(block)
+            rows = []
+            for block in _blocks(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                for (i, t), suspect in zip(block, _suspects(m, block), strict=True):
+                    if suspect and (found := m.judge(t)):
+                        rows.append((i, found[0], [{"class": k, "begin": b, "end": e, "ratio": x} for k, b, e, x in found[1]]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(3)], schema=schema)
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))
     return base.mapInArrow(run, "id long, coverage double, windows array<struct<class:string,begin:long,end:long,ratio:double>>").withColumnRenamed("id", id_col)

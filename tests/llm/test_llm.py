@@ -151,17 +151,23 @@ def prose(rng, n):
 @pytest.fixture(scope="module")
 def models():
     rng = random.Random(4)
-    return residue.Models([prose(rng, 8) + f" Entry {k} of the list." for k in range(400)], residue.Settings())
+    m = residue.Models(residue.Settings())
+    return m.with_prose(residue.Counts(m.grams).add([prose(rng, 8) + f" Entry {k} of the list." for k in range(400)]))
 
 
 def test_held_out_residue(models):
     rng = random.Random(9)
-    left = ["Hybrid work, {{ notice_period }} days a week.", "As [company name], designed reports.", "404 Not Found. The requested page was not found on this server.", "Please enable JavaScript to view this page.", "lorem ipsum dolor sit amet porta nibh velit lectus mattis", "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "Your session has expired. Please sign in again to continue.", "Write something about yourself here.", "<%= job_title %> at %%company%%"]
+    left = [
+        "Hybrid work, {{ notice_period }} days a week.", "As [company name], designed reports.", "Page not found: the address you entered does not exist on this server.", "Kindly switch on JavaScript in your settings to view the posting.", "amet porta nibh lorem velit dolor lectus ipsum mattis", "Bitte aktivieren Sie jetzt JavaScript im Browser, um diese Stelle zu sehen.",
+        "Your session timed out; please sign in once more to continue.", "Write some text about yourself here.", "<%= job_title %> at %%company%%", "Vous devez autoriser JavaScript pour voir cette offre.", "Se ha producido un error; vuelva a intentarlo.",
+    ]
+    made = {x.strip().lower() for v in residue.examples().values() for x in v}
     for x in left:
+        assert x.lower() not in made
         assert models.windows(prose(rng, 3) + " " + x + " " + prose(rng, 3)), x
         assert models.windows(x), x
     clean = [prose(rng, 8) for _ in range(100)]
-    assert not any(models.suspects_of(clean))
+    assert not any(models.judge(t) for t in clean)
 
 
 def test_residue_over_a_table(spark, models):
@@ -174,6 +180,26 @@ def test_residue_over_a_table(spark, models):
     assert residue.find_residue(d.where("doc_id < 4")).count() == 0  # no prose to fit on
 
 
+def test_short_notices_by_coverage(models):
+    short = "Sign in again."
+    assert models.judge(short) and models.judge(short)[0] > 0.5
+    assert not models.judge("The team designs data contracts for two offices. Interviews take three rounds.")
+
+
+def test_models_fitted_on_the_workers_and_saved(spark, tmp_path):
+    rng = random.Random(14)
+    said = "Maintained mail templates in which fields such as {{first_name}} or ${city} are replaced before a message leaves."
+    texts = [prose(rng, 6) + f" Entry {k} of the list." for k in range(300)] + [said + f" Number {k}." for k in range(40)] + ["Please enable JavaScript to view this page."] * 5
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for parts in (1, 3):
+        m = residue.fit(d.repartition(parts))
+        assert sorted(r.doc_id for r in residue.find_residue(d, models=m).collect()) == [340, 341, 342, 343, 344]
+    residue.save(m, spark, str(tmp_path / "model"))
+    again = residue.load(spark, str(tmp_path / "model"))
+    assert all((getattr(again.prose, n) == getattr(m.prose, n)).all() for n in ("joint", "context", "base"))
+    assert [again.judge(t) for t in texts[-50:]] == [m.judge(t) for t in texts[-50:]]
+
+
 # Names.
 
 
