@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from functools import cache
+
+import pandas as pd
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -79,13 +85,23 @@ def counts(words: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of the bags of words (lower case, split at white space) of two texts; 0 if either is empty."""
-    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v * v))
+    return _cosine_udf()(tokens(a, "minimal"), tokens(b, "minimal"))
+
+
+@cache
+def _cosine_udf():
+    """Linear in the words, on Arrow batches; higher-order functions would compare every word with every other."""
 
-    def of(p: Column) -> Column:
-        dot = F.aggregate(F.map_entries(p["x"]), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(p["y"], e["key"]), F.lit(0.0)))
-        return F.coalesce(F.try_divide(dot, norm(p["x"]) * norm(p["y"])), F.lit(0.0))
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for v, w in zip(x, y, strict=True):
+            p, q = Counter(v), Counter(w)
+            norm = math.sqrt(sum(n * n for n in p.values())) * math.sqrt(sum(n * n for n in q.values()))
+            out.append(sum(n * q[t] for t, n in p.items()) / norm if norm else 0.0)
+        return pd.Series(out, dtype="float64")
 
-    return let(F.struct(counts(tokens(a, "minimal")).alias("x"), counts(tokens(b, "minimal")).alias("y")), of)
+    return run
 
 
 def normalize_skill(c: Column) -> Column:

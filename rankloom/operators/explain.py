@@ -91,3 +91,41 @@ def reasoning(name: Column, title: Column, company: Column, strong: Column, weak
 def with_fallback(generated: Column, fallback: Column) -> Column:
     """A generated text, or the rule-based one where it is missing or blank."""
     return F.coalesce(F.when(F.trim(generated) != "", generated), fallback)
+
+
+def education_relevance(degree: Column, field: Column, keywords: list[str]) -> Column:
+    """The degree if it holds a keyword, else the field of study if that does, else null."""
+    holds = lambda c: F.lower(c).rlike("|".join(keywords))
+    return F.when(holds(degree), degree).when(holds(field), field)
+
+
+def project_relevance(technologies: Column, wanted: list[str]) -> Column:
+    """Whether a job's technologies (structs with a name) hold a wanted one."""
+    return F.arrays_overlap(F.transform(technologies, lambda t: F.lower(t["name"])), F.array(*[F.lit(w.lower()) for w in wanted]))
+
+
+def risks(years: Column, required: Column, missing: Column, recent_jobs: Column, activity: Column, gap_days: Column) -> Column:
+    """The list of risk factors; a null input gives none."""
+    return F.array_compact(F.array(
+        F.when(years < required, F.lit("Insufficient experience")), F.when(F.size(missing) > 0, F.concat(F.lit("Missing critical skills: "), F.array_join(missing, ", "))),
+        F.when(recent_jobs > 3, F.lit("Frequent job changes")), F.when(activity < 0.3, F.lit("Low activity score")), F.when(gap_days > 180, F.lit("Employment gap")),
+    ))
+
+
+def evidence(ranked: DataFrame, features: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
+    """What explanations are made of, one row per ranked row: rank and score, matched and missing skills and years from
+    the features, activity, recent_jobs, gap_days, education, projects and leadership from the people (null if unknown)."""
+    d = ranked.join(features, keys, "left").join(people, "candidate_id", "left")
+    none = F.array().cast("array<string>")
+    lists = [c for c in ("matched", "missing", "education", "projects", "leadership") if c in d.columns]
+    return d.withColumns({c: F.coalesce(F.col(c), none) for c in lists})
+
+
+def build(evidence_rows: DataFrame, name: Column, title: Column, company: Column) -> DataFrame:
+    """Adds risks, summary, strengths, weaknesses, reasoning, recommendation and confidence to rows of evidence."""
+    d = evidence_rows.withColumn("risks", risks(F.col("years"), F.col("required_years"), F.col("missing"), F.col("recent_jobs"), F.col("activity"), F.col("gap_days")))
+    d = d.withColumn("strengths", strengths(F.col("matched"), F.col("years"), F.col("required_years"), F.col("education"), F.col("projects"), F.col("leadership")))
+    d = d.withColumn("weaknesses", weaknesses(F.col("missing"), F.col("risks"), F.col("years"), F.col("required_years")))
+    d = d.withColumn("summary", summary(name, title, F.col("score"))).withColumn("reasoning", reasoning(name, title, company, F.col("strengths"), F.col("weaknesses"), F.col("score"), F.col("rank")))
+    n = F.size("risks")
+    return d.withColumn("recommendation", recommendation(F.col("score"), n)).withColumn("confidence", confidence(F.col("score"), F.col("hiring_confidence"), n == 0))

@@ -14,10 +14,8 @@ NO_EXPLANATION = "No explanation available."
 
 
 def _last(df: DataFrame, key: str, order: str | None) -> DataFrame:
-    """One row per key: the last by order, or any of equal ones."""
-    if order is None:
-        return df.dropDuplicates([key])
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """One row per key: the last by order; without one the greatest by its values, so that runs agree."""
+    w = Window.partitionBy(key).orderBy(F.desc(order) if order else F.desc(F.to_json(F.struct("*"))))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

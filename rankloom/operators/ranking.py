@@ -14,6 +14,11 @@ def positional_score(place: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.lit(0.95) - F.lit(0.009) * (place - 1)), 2)
 
 
+def reranked(score: Column, gain: float = 0.02) -> Column:
+    """A score raised by a fixed gain, at most 1; two decimals. The order stays."""
+    return F.round(F.least(score + gain, F.lit(1.0)), 2)
+
+
 def blend(previous: Column, recruiter: Column, previous_weight: float = 0.5, recruiter_weight: float = 0.5) -> Column:
     total = previous_weight + recruiter_weight
     a, b = (previous_weight / total, recruiter_weight / total) if total else (0.5, 0.5)
@@ -24,7 +29,8 @@ def final_order(df: DataFrame, score: str = "final_score", previous_rank: str =
     """Adds rank by score (largest first), then the previous rank, then the id. With k, only the first k are ranked."""
     if k is not None:
         df = df.where(F.col(id_col).isNotNull()).orderBy(F.desc(score), previous_rank, id_col).limit(k)
-    # Without k the whole order is one window; ranks of all rows need their global order.
+    else:
+        return global_rank(df, [F.desc(score), F.col(previous_rank), F.col(id_col)], id_col)
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), previous_rank, id_col)).cast("long"))
 
 
@@ -87,3 +93,14 @@ def impossible_profile(skills: Column, jobs: Column, years: Column) -> Column:
     expert = F.exists(skills, lambda s: (s["proficiency"] == "expert") & (F.coalesce(s["duration_months"], F.lit(1)) == 0))
     months = F.aggregate(jobs, F.lit(0), lambda a, j: a + F.coalesce(j["duration_months"], F.lit(0)))
     return F.coalesce(expert, F.lit(False)) | F.coalesce(months > 12 * years + 12, F.lit(False))
+
+
+def keyword_stuffer(skills: Column, least: int = 10, months: int = 3) -> Column:
+    """Many skills, most of them hardly used."""
+    idle = F.size(F.filter(skills, lambda s: F.coalesce(s["duration_months"], F.lit(0)) < months))
+    return F.coalesce((F.size(skills) >= least) & (idle * 2 > F.size(skills)), F.lit(False))
+
+
+def behavioural_twin(years: Column, response_rate: Column, interview_rate: Column) -> Column:
+    """A profile as good as another on paper whose owner neither answers nor turns up."""
+    return F.coalesce((years >= 5) & (response_rate < 0.1) & (interview_rate < 0.3), F.lit(False))

@@ -93,6 +93,10 @@ def squared_distance(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Scores held at once while vectors are compared with a block of queries.
+_CELLS = 4_000_000
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, query_id: str, query_vec: str, k: int = 10, metric: str = "ip") -> DataFrame:
     """query, doc, score, rank by exact search: inner product (largest first) or l2 (squared distance, least first).
 
@@ -101,7 +105,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: s
     queries are broadcast as a matrix, in blocks of bounded size.
     """
     sc = vectors.sparkSession.sparkContext
-    block = 20_000
+    block = 10_000
     qs = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vec).alias("v")).where(F.col("v").isNotNull())
     total = qs.count()
     parts = -(-total // block) or 1
@@ -121,14 +125,18 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: s
             for b in batches:
                 if not b.num_rows:
                     continue
-                docs = b.column(0).to_numpy(zero_copy_only=False)
-                x = np.stack([np.asarray(v, np.float64) for v in b.column(1).to_pylist()])
-                s = m @ x.T if metric == "ip" else (m * m).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (m @ x.T)
-                s = np.round(s, 6) + 0.0
-                rank = -s if metric == "ip" else s
-                keep = min(k, len(docs))
-                order = np.lexsort((np.broadcast_to(docs, s.shape), rank), axis=1)[:, :keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(ids), keep)), pa.array(docs[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query", "doc", "score"])
+                rows = max(64, _CELLS // len(ids))
+                for at in range(0, b.num_rows, rows):
+                    part = b.slice(at, rows)
+                    docs = part.column(0).to_numpy(zero_copy_only=False)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(docs), -1)
+                    s = m @ x.T if metric == "ip" else (m * m).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (m @ x.T)
+                    s = np.round(s, 6) + 0.0
+                    rank = -s if metric == "ip" else s
+                    keep = min(k, len(docs))
+                    # All that are as good as the k-th, ties included; the order among them is made where all meet.
+                    q, d = np.nonzero(rank <= np.partition(rank, keep - 1, axis=1)[:, keep - 1 : keep])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[q]), pa.array(docs[d]), pa.array(s[q, d])], names=["query", "doc", "score"])
 
         base = vectors.select(F.col(id_col).cast("long").alias("doc"), F.col(vec_col).alias("v")).where(F.col("v").isNotNull())
         d = base.mapInArrow(run, "query long, doc long, score double")

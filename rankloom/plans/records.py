@@ -65,18 +65,15 @@ def sample_n(spark, sf_dir):
     return records.sample_n(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, 7)
 
 
-@query("shuffle_order", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':11'), doc_id) AS place FROM documents ORDER BY place LIMIT 500")
+@query("shuffle_order", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':11'), doc_id) AS place FROM documents ORDER BY place")
 def shuffle_order(spark, sf_dir):
-    """The first 500 places of a seeded shuffle, as a top-k report."""
-    d = records.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 11).limit(500)
-    from pyspark.sql import Window
-
-    return d.withColumn("place", F.row_number().over(Window.orderBy(records.shuffle_key("doc_id", 11), "doc_id")).cast("long"))
+    """All documents in the order of a seeded shuffle."""
+    return records.shuffle_places(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 11).orderBy("place")
 
 
 @query("shuffle_places", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':11'), doc_id) AS place FROM documents")
 def shuffle_places(spark, sf_dir):
-    """The place of every document; shuffle_order reports the first 500."""
+    """The place of every document in the seeded shuffle."""
     return records.shuffle_places(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 11)
 
 

@@ -224,12 +224,18 @@ def evaluation_report(spark, sf_dir):
     return metrics.evaluate(checkpoint(_many(spark, sf_dir)), checkpoint(_truth(spark, sf_dir)), 5, list(_VALUES))
 
 
+_MANY50_SQL = _bm25_sql("SELECT item_id AS query, text AS qt FROM eval_items", 50)
+_FIFTY = lambda value: _metric_sql(value).replace(_MANY_SQL, _MANY50_SQL)
+
+
 @query("composite_score", f"""
-SELECT a.query, round(0.80 * a.value + 0.15 * b.value + 0.05 * c.value, 6) AS value
-FROM ({_metric_sql(_VALUES["ndcg_at_k"].replace("5", "10").replace("0.510", "0.5"))}) a JOIN ({_metric_sql(_VALUES["average_precision"])}) b ON a.query = b.query JOIN ({_metric_sql("count(CASE WHEN rank <= 10 AND rel = 1 THEN doc END) / 10.0")}) c ON a.query = c.query""")
+SELECT a.query, round(0.50 * a.value + 0.30 * d.value + 0.15 * b.value + 0.05 * c.value, 6) AS value
+FROM ({_FIFTY(_VALUES["ndcg_at_k"].replace("5", "10").replace("0.510", "0.5"))}) a JOIN ({_FIFTY(_VALUES["ndcg_at_k"].replace("5", "50").replace("0.550", "0.5"))}) d ON a.query = d.query
+JOIN ({_FIFTY(_VALUES["average_precision"])}) b ON a.query = b.query JOIN ({_FIFTY("count(CASE WHEN rank <= 10 AND rel = 1 THEN doc END) / 10.0")}) c ON a.query = c.query""")
 def composite_score(spark, sf_dir):
-    """The hit lists end at ten, so the measure at fifty equals that at ten up to its ideal; both use ten here."""
-    r, t = checkpoint(_many(spark, sf_dir)), checkpoint(_truth(spark, sf_dir))
-    v = lambda f, n: f(r, t, 10).withColumnRenamed("value", n)
-    d = v(metrics.ndcg_at_k, "n").join(v(metrics.average_precision, "a"), "query").join(v(metrics.ranking_precision_at_k, "p"), "query")
-    return d.select("query", F.round(metrics.composite(F.col("n"), F.col("n"), F.col("a"), F.col("p")), 6).alias("value"))
+    """From hit lists of fifty."""
+    r, t = checkpoint(_many(spark, sf_dir, 50)), checkpoint(_truth(spark, sf_dir))
+    ten = metrics.per_query(r, t, 10, ["ndcg_at_k", "average_precision", "ranking_precision_at_k"])
+    fifty = metrics.per_query(r, t, 50, ["ndcg_at_k"]).withColumnRenamed("ndcg_at_k", "ndcg_50")
+    value = metrics.composite(F.col("ndcg_at_k"), F.col("ndcg_50"), F.col("average_precision"), F.col("ranking_precision_at_k"))
+    return ten.join(fifty, "query").select("query", F.round(value, 6).alias("value"))

@@ -127,9 +127,23 @@ def blend_scores(spark, sf_dir):
     return _scores(spark, sf_dir).select("row_id", ranking.blend(F.col("skill"), F.col("recruiter"), 0.6, 0.4).alias("final_score"))
 
 
-@query("multi_criteria", f"SELECT row_id, round(skill * 0.35 + exper * 0.30 + recruiter * 0.10, 6) AS score FROM ({_SCORES})")
+@query("multi_criteria", f"""
+SELECT row_id, round(skill * 0.35 + exper * 0.30 + coalesce(education, 0.0) * 0.15 + coalesce(activity, 0.0) * 0.10 + recruiter * 0.10, 6) AS score
+FROM ({_SCORES}) JOIN (SELECT row_id, CASE WHEN len(list_filter(education, lambda e: e.tier IN ('tier_1', 'tier_2'))) > 0 THEN 1.0 ELSE 0.0 END AS education,
+     redrob_signals.profile_completeness_score / 100.0::DOUBLE AS activity FROM candidates) USING (row_id)""")
 def multi_criteria(spark, sf_dir):
-    return _scores(spark, sf_dir).select("row_id", ranking.weighted({"skill": 0.35, "exper": 0.30, "recruiter": 0.10}).alias("score"))
+    """All five criteria."""
+    more = table(spark, sf_dir, "candidates").select("row_id", F.exists("education", lambda e: e["tier"].isin("tier_1", "tier_2")).cast("double").alias("education"), (F.col("redrob_signals.profile_completeness_score") / 100.0).alias("activity"))
+    weights = {"skill": 0.35, "exper": 0.30, "education": 0.15, "activity": 0.10, "recruiter": 0.10}
+    return _scores(spark, sf_dir).join(more, "row_id").select("row_id", ranking.weighted(weights).alias("score"))
+
+
+@query("trap_kinds", """
+SELECT row_id, coalesce(len(skills) >= 10 AND coalesce(len(list_filter(skills, lambda s: coalesce(s.duration_months, 0) < 3)), 0) * 2 > len(skills), false) AS stuffer,
+       coalesce(profile.years_of_experience >= 5 AND redrob_signals.recruiter_response_rate < 0.1 AND redrob_signals.interview_completion_rate < 0.3, false) AS twin FROM candidates""")
+def trap_kinds(spark, sf_dir):
+    c = table(spark, sf_dir, "candidates")
+    return c.select("row_id", ranking.keyword_stuffer(F.col("skills")).alias("stuffer"), ranking.behavioural_twin(F.col("profile.years_of_experience"), F.col("redrob_signals.recruiter_response_rate"), F.col("redrob_signals.interview_completion_rate")).alias("twin"))
 
 
 @query("final_order", f"SELECT row_id, final_score, rank FROM (SELECT row_id, round(skill * 0.6 + recruiter * 0.4, 6) AS final_score, row_number() OVER (ORDER BY round(skill * 0.6 + recruiter * 0.4, 6) DESC, row_id) AS rank FROM ({_SCORES})) WHERE rank <= 100")
@@ -144,11 +158,10 @@ def global_rank(spark, sf_dir):
     return ranking.global_rank(blend_scores(spark, sf_dir), [F.desc("final_score"), F.col("row_id")], "row_id").select("row_id", "rank")
 
 
-@query("positional_rank", "SELECT row_id, round(greatest(0.0, 0.95::DOUBLE - 0.009::DOUBLE * (n - 1)), 2) AS score, round(least(round(greatest(0.0, 0.95::DOUBLE - 0.009::DOUBLE * (n - 1)), 2) + 0.02, 1.0), 2) AS reranked FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS n FROM candidates) WHERE n <= 100")
+@query("positional_rank", "SELECT row_id, round(greatest(0.0, 0.95::DOUBLE - 0.009::DOUBLE * (n - 1)), 2) AS score, round(least(round(greatest(0.0, 0.95::DOUBLE - 0.009::DOUBLE * (n - 1)), 2) + 0.02, 1.0), 2) AS reranked FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS n FROM candidates)")
 def positional_rank(spark, sf_dir):
-    d = table(spark, sf_dir, "candidates").select("row_id").orderBy("row_id").limit(100)
-    d = d.withColumn("score", ranking.positional_score(F.row_number().over(Window.orderBy("row_id"))))
-    return d.withColumn("reranked", F.round(F.least(F.col("score") + 0.02, F.lit(1.0)), 2))
+    d = ranking.global_rank(table(spark, sf_dir, "candidates").select("row_id"), ["row_id"], "row_id")
+    return d.select("row_id", ranking.positional_score(F.col("rank")).alias("score")).withColumn("reranked", ranking.reranked(F.col("score")))
 
 
 @query("topk_per_group", "SELECT candidate_id, name, proficiency, rank FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY proficiency DESC NULLS LAST, skill_id) AS rank FROM skills) WHERE rank <= 3")
@@ -218,15 +231,13 @@ def risk_factors(spark, sf_dir):
 
 @query("education_relevance", "SELECT edu_id, CASE WHEN regexp_matches(lower(degree), 'tech|sc') THEN degree ELSE field_of_study END AS relevant FROM education WHERE regexp_matches(lower(degree), 'tech|sc') OR regexp_matches(lower(field_of_study), 'tech|sc')")
 def education_relevance(spark, sf_dir):
-    e = table(spark, sf_dir, "education")
-    deg, field = F.lower("degree").rlike("tech|sc"), F.lower("field_of_study").rlike("tech|sc")
-    return e.where(deg | field).select("edu_id", F.when(deg, F.col("degree")).otherwise(F.col("field_of_study")).alias("relevant"))
+    relevant = explain.education_relevance(F.col("degree"), F.col("field_of_study"), ["tech", "sc"])
+    return table(spark, sf_dir, "education").select("edu_id", relevant.alias("relevant")).where("relevant IS NOT NULL")
 
 
 @query("project_relevance", "SELECT exp_id FROM experience WHERE list_has_any(list_transform(technologies, lambda t: lower(t.name)), ['python', 'apache spark', 'docker'])")
 def project_relevance(spark, sf_dir):
-    e = table(spark, sf_dir, "experience")
-    return e.where(F.arrays_overlap(F.transform("technologies", lambda t: F.lower(t["name"])), F.array(F.lit("python"), F.lit("apache spark"), F.lit("docker")))).select("exp_id")
+    return table(spark, sf_dir, "experience").where(explain.project_relevance(F.col("technologies"), ["Python", "Apache Spark", "Docker"])).select("exp_id")
 
 
 _RISKS = "CASE WHEN y < 6 THEN 1 ELSE 0 END + CASE WHEN m > 0 THEN 1 ELSE 0 END"

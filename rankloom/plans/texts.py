@@ -40,7 +40,7 @@ def bow_cosine(spark, sf_dir):
 
 def _lexicon(spark, sf_dir) -> list[str]:
     """The skill list; a bounded reference table."""
-    return sorted(r.canonical for r in table(spark, sf_dir, "ref_values").where("field = 'skills.name'").select("canonical").distinct().limit(5000).collect())
+    return sorted(r.canonical for r in table(spark, sf_dir, "ref_values").where("field = 'skills.name'").select("canonical").distinct().collect())
 
 
 @query("skill_extract", "SELECT doc_id, list_sort(list(DISTINCT lower(canonical))) AS terms FROM documents, ref_values WHERE field = 'skills.name' AND contains(lower(text), lower(canonical)) GROUP BY doc_id UNION ALL SELECT doc_id, []::VARCHAR[] FROM documents WHERE NOT EXISTS (SELECT 1 FROM ref_values WHERE field = 'skills.name' AND contains(lower(text), lower(canonical)))")

@@ -34,6 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     folder = named or tempfile.mkdtemp(prefix="rankloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -63,11 +63,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
 
 
 def export(df: DataFrame, path: str, order: str = "rank") -> dict[str, Any]:
-    """Validates (columns, nulls in the keys, ranks), writes one CSV and a note beside it; raises ValueError if it doesn't hold."""
-    from rankloom.operators.export import COLUMNS, rank_summary, schema_problems
+    """Validates (columns, nulls and blanks in keys and explanations, repeated ids, ranks), writes one CSV and a note beside it; raises ValueError if it doesn't hold."""
+    from rankloom.operators.export import COLUMNS, null_violations, rank_summary, schema_problems
 
     if problems := schema_problems(df, COLUMNS):
         raise ValueError("; ".join(problems))
+    if nulls := null_violations(df, ["candidate_id", "rank", "hybrid_score", "explanation_summary", "explanation_reasoning"]).collect():
+        raise ValueError("; ".join(f"{v.key} is null or blank in {v.detail} rows" for v in nulls))
+    if twice := df.groupBy("candidate_id").count().where("count > 1").count():
+        raise ValueError(f"{twice} ids come more than once")
     s = rank_summary(df).first()
     if s.rows != s.ranks or s.rows and (s.first != 1 or s.last != s.rows):
         raise ValueError(f"ranks aren't 1..{s.rows}")
