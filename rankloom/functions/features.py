@@ -115,3 +115,12 @@ def feature_vector(df: DataFrame, jd: str = "jd", cand: str = "cand") -> DataFra
         *[r6(jaccard(arr(jd, k), arr(cand, k)), f"{k}_match") for k in KINDS], r6(cosine(txt(jd, "description"), txt(cand, "summary")), "keyword_similarity"), r6(jaccard(union(jd), union(cand)), "technology_stack_match"),
     )
     return df.withColumn("raw", raw).withColumn("normalized", normal)
+
+
+#: Raw metrics that are counted as features.
+FEATURE_COUNT = 16
+
+
+def with_metadata(df: DataFrame, version: str = "1.0") -> DataFrame:
+    """Adds the struct ``metadata``: feature_count, generated_at (UTC) and version."""
+    return df.withColumn("metadata", F.struct(F.lit(FEATURE_COUNT).alias("feature_count"), F.current_timestamp().alias("generated_at"), F.lit(version).alias("version")))

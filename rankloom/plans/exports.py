@@ -148,6 +148,8 @@ def bm25_saved_index(spark, sf_dir):
 def pipeline_submission(spark, sf_dir):
     """All stages from nested candidates to the submission, for one job."""
     from rankloom.plans import pipeline
+    from rankloom.sources.files import load_config
 
     q = spark.createDataFrame([(1, "machine learning engineer python apache spark search ranking")], "query int, text string")
-    return pipeline.run(spark, table(spark, sf_dir, "candidates"), q).frames["submission"]
+    config = load_config(None, retrieval={"top_k": 500})
+    return pipeline.run(spark, table(spark, sf_dir, "candidates"), q, config).frames["submission"]

@@ -174,6 +174,7 @@ class RankingConfig:
     bm25_weight: float = 0.5
     previous_weight: float = 0.5
     recruiter_weight: float = 0.5
+    keep: int = 100
     normalize: str | None = None
 
 
