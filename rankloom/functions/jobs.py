@@ -5,7 +5,7 @@ Everything is a Column expression over the text, except the section split, which
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,40 +131,48 @@ def degrees(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return s.select(F.col(id_col), F.explode(found).alias("degree"), field.alias("field"), F.col("s").rlike("required|mandatory|must have").alias("mandatory")).distinct()
 
 
+def _with_sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and found: an array of (section, content), made within the row: no line leaves it, nothing is shuffled."""
+
+    def mark(x: Column) -> Column:
+        """The name of a heading, an empty one for a blank line, which closes a section, else null."""
+        line = F.trim(x)
+        out = F.when(line == "", "").when(F.size(F.split(line, r"\s+")) >= 10, F.lit(None).cast("string"))
+        for name, p in SECTIONS:
+            out = out.when(F.lower(line).rlike(p), name)
+        return out
+
+    d = df.select(F.col(id_col), F.col(text_col).alias("_text"), F.split(F.col(text_col), r"\r\n|\n|\r").alias("_lines"))
+    d = d.withColumn("_marks", F.transform("_lines", mark))
+    d = d.withColumn("_at", F.filter(F.transform("_marks", lambda m, i: F.when(m.isNotNull(), i)), lambda i: i.isNotNull()))
+    island = lambda p, k: F.struct(F.get("_marks", p).alias("section"), p.alias("at"), (F.coalesce(F.get("_at", k + 1), F.size("_lines")) - p - 1).alias("n"))
+    d = d.withColumn("_islands", F.filter(F.transform("_at", island), lambda x: (x["section"] != "") & (x["n"] > 0)))
+    named = lambda name: lambda x: x["section"] == name
+    last = F.array_compact(F.array(*[F.try_element_at(F.filter("_islands", named(name)), F.lit(-1)) for name, _ in SECTIONS]))
+    content = lambda x: F.trim(F.array_join(F.slice("_lines", x["at"] + 2, x["n"]), "\n"))
+    return d.select(id_col, "_text", F.transform(last, lambda x: F.struct(x["section"].alias("section"), content(x).alias("content"))).alias("_found"))
+
+
 def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, section, content: lines under the last heading above, up to a blank line; of repeated headings the last counts.
 
     A heading is a line of fewer than ten words that matches one of the section patterns.
     """
-    lines = df.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), r"\r\n|\n|\r")).alias("pos", "line"))
-    line = F.trim("line")
-    short = F.size(F.split(line, r"\s+")) < 10
-    head = None
-    for name, p in SECTIONS:
-        hit = short & F.lower(line).rlike(p)
-        head = F.when(hit, name) if head is None else head.when(hit, name)
-    # A blank line closes a section; it marks itself with an empty name.
-    mark = F.when(line == "", "").otherwise(head)
-    w = Window.partitionBy(id_col).orderBy("pos")
-    d = lines.withColumn("mark", mark).withColumn("section", F.last("mark", True).over(w)).withColumn("island", F.count("mark").over(w))
-    body = d.where(F.col("mark").isNull() & (F.col("section") != ""))
-    parts = body.groupBy(id_col, "section", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
-    last = Window.partitionBy(id_col, "section").orderBy(F.desc("island"))
-    return parts.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(id_col, "section", F.trim("content").alias("content"))
+    # The outer form: for the other, the optimizer would put a filter before it that makes the sections a second time.
+    return _with_sections(df, id_col, text_col).select(id_col, F.inline_outer("_found")).where("section IS NOT NULL")
 
 
 def all_sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The sections, and of each text that isn't null: its whole as unclassified, or as main_content if it has none.
 
-    In main_content the white space around is left out and each gap between paragraphs is one blank line. Ids are unique.
+    In main_content the white space around is left out and each gap between paragraphs is one blank line.
     """
-    found = sections(df, id_col, text_col)
-    text = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("content"))
-    ids = found.select(id_col).distinct()
-    whole = text.join(ids, id_col, "left_semi").select(id_col, F.lit("unclassified").alias("section"), "content")
-    inner = F.regexp_replace(F.regexp_replace("content", f"^{WS}+", ""), f"{WS}+\\z", "")
-    rest = text.join(ids, id_col, "left_anti").select(id_col, F.lit("main_content").alias("section"), F.regexp_replace(inner, f"\n{WS}*\n", "\n\n").alias("content"))
-    return found.unionByName(whole).unionByName(rest)
+    d = _with_sections(df.where(F.col(text_col).isNotNull()), id_col, text_col)
+    inner = F.regexp_replace(F.regexp_replace("_text", f"^{WS}+", ""), f"{WS}+\\z", "")
+    whole = F.when(F.size("_found") > 0, F.struct(F.lit("unclassified").alias("section"), F.col("_text").alias("content"))).otherwise(
+        F.struct(F.lit("main_content").alias("section"), F.regexp_replace(inner, f"\n{WS}*\n", "\n\n").alias("content"))
+    )
+    return d.select(id_col, F.inline_outer(F.concat("_found", F.array(whole))))
 
 
 def section_terms(df: DataFrame, parts: list[str], lexicon: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import jobs, text
 from rankloom.plans.catalogue import ORACLES, query, table
 from rankloom.plans.retrieval import words_sql
+from rankloom.session import spread
 
 _MAP = lambda d: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + "}"
 
@@ -169,7 +170,7 @@ WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES})))
      p AS (SELECT doc_id, section, island, string_agg(line, chr(10) ORDER BY pos) AS content FROM w WHERE mark IS NULL AND section <> '' GROUP BY 1, 2, 3)
 SELECT doc_id, section, trim(content, ' ') AS content FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY island DESC) AS n FROM p) WHERE n = 1""")
 def section_split(spark, sf_dir):
-    return jobs.sections(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return jobs.sections(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 _INNER = f"regexp_replace(regexp_replace(regexp_replace(text, '^{jobs.WS}+', ''), '{jobs.WS}+\\z', ''), '\\n{jobs.WS}*\\n', chr(10) || chr(10), 'g')"
@@ -181,7 +182,7 @@ SELECT * FROM f UNION ALL SELECT doc_id, 'unclassified', text FROM documents WHE
 UNION ALL SELECT doc_id, 'main_content', {_INNER} FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM f)""")
 def section_split_whole(spark, sf_dir):
     """The sections with the whole text beside them, or in their place; section_split gives the found ones alone."""
-    return jobs.all_sections(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return jobs.all_sections(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query("job_parse")
