@@ -13,7 +13,7 @@ document it is, since a part suffices; a weaker one, from ``weak`` of the thresh
 speak for its class are ``min_coverage`` of the text, as where a whole text is a short notice or filler.
 
 Text that only mentions such things stays: the prose model has seen its kind of sentence, so the
-ratio stays low, whatever words it holds. Models are broadcast (about 40 MB, whatever the corpus) and can be saved (``save``, ``load``).
+ratio stays low, whatever words it holds. Models are broadcast (about 3 MB, whatever the corpus) and can be saved (``save``, ``load``).
 
 Defined results: null and blank texts are no case; repeated texts are judged alike; long texts are
 scored in overlapping parts, none is cut off.
@@ -113,6 +113,13 @@ class Grams:
         slots[keys >> np.uint32(32 - BITS)] = np.arange(len(keys))
         return np.append(keys, np.uint32(0)), slots
 
+    def __getstate__(self) -> list:
+        """Only the keys are sent; the slots are made of them again."""
+        return [k[:-1] for k in self.keys]
+
+    def __setstate__(self, keys: list) -> None:
+        self.keys, self.slots = zip(*map(self._index, keys), strict=True)
+
     def places(self, hashed: tuple) -> list:
         """Of contexts and n-grams, the numbers of those known, and the number behind them for others."""
         out = []
