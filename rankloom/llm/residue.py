@@ -202,8 +202,11 @@ class Models:
         self.prose = Bank([counts], self.s.smoothing_prose)
         return self
 
-    def ratios(self, c):
-        """Per class: log-likelihood ratio of each character against prose; without a prose model, against a fixed rate."""
+    def ratios(self, c, begin):
+        """Per class: log-likelihood ratio of each character against prose; without a prose model, against a fixed rate.
+
+        begin: where the text of each character begins.
+        """
         places = [self.grams.places(h) for h in _hashes(c)]
         base = self.prose.log_likelihood(c, places, False)[0] if self.prose else np.float32(self.s.first_rate)
         own, seen = self.classes.log_likelihood(c, places, True)
@@ -215,50 +218,54 @@ class Models:
         if len(c):  # a slot begins with what encloses slots
             at = np.arange(len(c))
             opened = np.maximum.accumulate(np.where(_DELIMITER[np.minimum(c, 255)], at, -(1 << 40)))
-            out["slot"] = np.where(at - opened <= SLOT_CHARS, out["slot"], -8.0)
+            out["slot"] = np.where((at - opened <= SLOT_CHARS) & (opened >= begin), out["slot"], -8.0)
         return out
 
     def need(self, k: str) -> float:
         return dict(self.s.thresholds if self.prose else self.s.first_thresholds)[k]
 
+    def windows_of(self, texts: list[str], whole: bool = True) -> list[list[tuple[str, int, int, float]]]:
+        """Of each text the (class, begin, end, ratio) of the windows that count; that of a slot begins with or holds what
+        encloses it. The texts are scored together, apart by as many blanks as a context is long, so that none matters to
+        another. whole: whether weaker windows count where their class covers enough of the text."""
+        gap = "\n" * ORDER
+        sizes = np.array([len(t) for t in texts])
+        starts = ORDER + np.concatenate([[0], np.cumsum(sizes[:-1] + ORDER)])
+        c = _codes(gap + gap.join(texts) + gap)
+        begin = np.repeat(starts, sizes + ORDER)
+        inside = np.arange(ORDER, len(c)) - begin < np.repeat(sizes, sizes + ORDER)
+        inside, begin = np.concatenate([np.zeros(ORDER, bool), inside]), np.concatenate([np.zeros(ORDER, np.int64), begin])
+        filled = np.maximum(1, np.array([len(t.strip()) for t in texts]))
+        out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+        for k, r in self.ratios(c, begin).items():
+            r[~inside] = -1e6  # nothing reaches over a border
+            total = np.cumsum(r)
+            low = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+            top = np.maximum.reduceat(total - low, starts)
+            need = np.full(len(texts), self.need(k))
+            if self.prose and whole:
+                need[np.add.reduceat(r > 0, starts) >= self.s.min_coverage * filled] *= self.s.weak
+            for i in np.flatnonzero(top >= need - 1e-6):
+                t, at = texts[i], starts[i]
+                for b, e, x in _segments(r[at : at + sizes[i]], need[i]):
+                    if k != "slot" or _ENCLOSES.search(t, max(0, b - 12), e + 4) and _WORD.search(t, b, e + 8):
+                        out[i].append((k, b, e, x))
+        return out
+
     def windows(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(class, begin, end, ratio) of the windows that count; that of a slot begins with or holds what encloses it."""
+        """The windows of one text; a long one is scored in overlapping parts."""
+        if len(text) < PART:
+            return self.windows_of([text])[0]
         out = []
-        for at in range(0, max(len(text) - OVERLAP, 1), PART - OVERLAP):
-            part = text[at : at + PART]
-            for k, r in self.ratios(_codes(part)).items():
-                whole = self.prose and at == 0 and len(text) <= PART and np.count_nonzero(r > 0) >= self.s.min_coverage * len(part.strip())
-                need = self.need(k) * (self.s.weak if whole else 1)
-                total = np.concatenate([[0.0], np.cumsum(r)])
-                if (total - np.minimum.accumulate(total)).max() < need:
-                    continue
-                for b, e, x in _segments(r, need):
-                    w = (k, at + b, min(at + e, len(text)), x)
-                    if w not in out and (k != "slot" or _ENCLOSES.search(part, max(0, b - 12), e + 4) and _WORD.search(part, b, e + 8)):
-                        out.append(w)
+        for at in range(0, len(text) - OVERLAP, PART - OVERLAP):
+            out += [w for k, b, e, x in self.windows_of([text[at : at + PART]], False)[0] if (w := (k, at + b, at + e, x)) not in out]
         return out
 
-    def judge(self, text: str) -> tuple[float, list[tuple[str, int, int, float]]] | None:
+    def judge(self, text: str, found: list[tuple] | None = None) -> tuple[float, list[tuple[str, int, int, float]]] | None:
         """(coverage, windows) of a text to exclude, else None."""
-        found = self.windows(text)
+        found = self.windows(text) if found is None else found
         return (min(1.0, _covered(found) / len(text.strip())), found) if found else None
 
-    def suspects(self, texts: list[str]) -> list[bool]:
-        """Whether each text may have a window above a threshold; texts together stay below a part's size."""
-        joined = "\n".join(texts)
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        sizes = np.array([len(t.strip()) for t in texts])
-        out = np.zeros(len(texts), bool)
-        for k, r in self.ratios(_codes(joined + "\n")).items():
-            r[starts[1:] - 1] = -1e6  # nothing reaches over a border
-            s = np.cumsum(r)
-            low = np.minimum.accumulate(np.concatenate([[0.0], s[:-1]]))
-            top = np.maximum.reduceat(s - low, starts)
-            out |= top >= self.need(k)
-            if self.prose:
-                out |= (top >= self.s.weak * self.need(k)) & (np.add.reduceat(r > 0, starts) >= self.s.min_coverage * sizes)
-        return out.tolist()
-
 
 def _covered(windows: list[tuple]) -> int:
     covered, last = 0, 0
@@ -270,9 +277,21 @@ def _covered(windows: list[tuple]) -> int:
 
 def _segments(r, need: float) -> list[tuple[int, int, float]]:
     """Segments whose sum reaches need: from where a running sum last was zero to its highest point, then onwards."""
+    total = np.cumsum(r)
+    run = total - np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+    above = np.concatenate([[False], run > 0, [False]])
+    begins, ends = np.flatnonzero(above[1:] & ~above[:-1]), np.flatnonzero(above[:-1] & ~above[1:])
+    out = []
+    for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
+        if run[b:e].max() >= need - 1e-6:  # only where the sum gets so high is it gone through place by place
+            out += [(b + x, b + y, v) for x, y, v in _climbs(r[b:e].tolist(), need)]
+    return out
+
+
+def _climbs(r: list[float], need: float) -> list[tuple[int, int, float]]:
     out = []
     total, begin, top, end = 0.0, 0, 0.0, 0
-    for i, x in enumerate(r.tolist()):
+    for i, x in enumerate(r):
         total += x
         if total > top:
             top, end = total, i + 1
@@ -289,17 +308,17 @@ def _blocks(pairs: Iterator[tuple]) -> Iterator[list[tuple]]:
     """(key, text) pairs in blocks whose texts together stay below a part's size, if they are more than one."""
     block, size = [], 0
     for i, t in pairs:
-        if block and size + len(t) > PART - 1:
+        if block and size + len(t) > PART:
             yield block
             block, size = [], 0
         block.append((i, t))
-        size += len(t) + 1
+        size += len(t) + ORDER
     if block:
         yield block
 
 
-def _suspects(m: Models, block: list[tuple]) -> list[bool]:
-    return m.suspects([t for _, t in block]) if len(block) > 1 or len(block[0][1]) < PART else [True] * len(block)
+def _found(m: Models, block: list[tuple]) -> list[list[tuple]]:
+    return m.windows_of([t for _, t in block]) if len(block) > 1 or len(block[0][1]) < PART else [m.windows(t) for _, t in block]
 
 
 _END = re.compile(r"[.!?](?=\s|$)|\n")
@@ -334,12 +353,12 @@ def fit(docs: DataFrame, text_col: str = "text", settings: Settings = Settings()
             mentions: list[tuple] = []
             for block in _blocks((None, t) for t in b.column(0).to_pylist()):
                 kept = []
-                for (_, t), suspect in zip(block, _suspects(m, block), strict=True):
+                for (_, t), found in zip(block, _found(m, block), strict=True):
                     at = 0
-                    if suspect:
+                    if found:
                         digest = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
                         salt = salt or digest % FIRST_LEVEL
-                        for w in sorted(m.windows(t), key=lambda w: w[1]):
+                        for w in sorted(found, key=lambda w: w[1]):
                             kept.append(t[at : w[1]])
                             at = max(at, w[2])
                             key, whole = _around(t, w)
@@ -402,9 +421,9 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             rows = []
             for block in _blocks(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                for (i, t), suspect in zip(block, _suspects(m, block), strict=True):
-                    if suspect and (found := m.judge(t)):
-                        rows.append((i, found[0], [{"class": k, "begin": b, "end": e, "ratio": x} for k, b, e, x in found[1]]))
+                for (i, t), windows in zip(block, _found(m, block), strict=True):
+                    if found := m.judge(t, windows):
+                        rows.append((i, found[0], [{"class": k, "begin": b, "end": e, "ratio": float(x)} for k, b, e, x in found[1]]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(3)], schema=schema)
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))

@@ -180,6 +180,22 @@ def test_residue_over_a_table(spark, models):
     assert residue.find_residue(d.where("doc_id < 4")).count() == 0  # no prose to fit on
 
 
+def test_segments_against_one_pass_over_all_places():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        r = rng.normal(-0.4, 1.5, rng.integers(0, 200))
+        one, other = residue._segments(r, 4.0), residue._climbs(r.tolist(), 4.0)
+        assert [x[:2] for x in one] == [x[:2] for x in other] and np.allclose([x[2] for x in one], [x[2] for x in other])
+
+
+def test_neighbours_do_not_matter(models):
+    rng = random.Random(15)
+    texts = [prose(rng, 3), "404 Not Found", prose(rng, 2) + " ${", "city} " + prose(rng, 1), "", "Please enable JavaScript to view this page.", "İ " + prose(rng, 1) + " {{company_name}} "]
+    assert models.windows_of(texts) == [models.windows_of([t])[0] for t in texts] == [models.windows(t) for t in texts]
+
+
 def test_short_notices_by_coverage(models):
     short = "Sign in again."
     assert models.judge(short) and models.judge(short)[0] > 0.5
