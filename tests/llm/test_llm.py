@@ -305,6 +305,29 @@ def test_links_do_not_depend_on_where_shards_are_split(spark, monkeypatch):
         assert links() == whole, hot
 
 
+def test_shards_are_streamed(spark):
+    """Shards go to the workers row by row, not as lists that the JVM collects, and may go on in the next batch."""
+    families = ["tamirosko belandari", "tamirosko belandori", "tamirosko velandari", "tamirasko belandari", "kolpenditu belandari", "tamirosko"]
+    nodes = spark.createDataFrame([(k, "company", f, "foods") for k, f in enumerate(families)], "node long, label string, family string, kind string")
+
+    def links():
+        words = spark.createDataFrame([(f"T{w}/company", w) for w in {w for f in families for w in f.split()}], "key string, token string")
+        found, near = names._links(names._divided(names._members(nodes)), {}), names._near_words(words)
+        for d in (found, near):
+            plan = d._jdf.queryExecution().toString()
+            assert "collect_list" not in plan and "collect_set" not in plan and "ObjectHashAggregate" not in plan
+        return {tuple(r) for r in found.collect()}, {frozenset((r.a, r.b)) for r in near.collect()}
+
+    whole = links()
+    assert {(0, 1, 1), (0, 2, 1), (0, 3, 1)} <= whole[0] and not any(4 in r[:2] for r in whole[0])
+    assert whole[1] == {frozenset(("belandari", "belandori")), frozenset(("belandari", "velandari")), frozenset(("tamirosko", "tamirasko"))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert links() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_links_against_all_pairs():
     rng = random.Random(22)
     families = [["".join(rng.choice("abc") for _ in range(rng.randrange(4, 9))), "".join(rng.choice("abc") for _ in range(rng.randrange(4, 9)))] for _ in range(120)]
